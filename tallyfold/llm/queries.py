@@ -11,5 +11,17 @@ def op4_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_simhash": op4_simhash}
+def bpe_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op5_bpe(spark, sf_dir):
+    from tallyfold.llm.bpe import encode_digests
+
+    return encode_digests(table(spark, sf_dir, "documents"), bpe_path())
+
+
+QUERIES = {"op4_simhash": op4_simhash, "op5_bpe": op5_bpe}
 ORACLES: dict[str, str] = {}
