@@ -5,6 +5,12 @@ from __future__ import annotations
 from tallyfold.llm.common import table
 
 
+def op3_toxicity(spark, sf_dir):
+    from tallyfold.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash(spark, sf_dir):
     from tallyfold.llm.simhash import near_duplicates
 
@@ -23,5 +29,5 @@ def op5_bpe(spark, sf_dir):
     return encode_digests(table(spark, sf_dir, "documents"), bpe_path())
 
 
-QUERIES = {"op4_simhash": op4_simhash, "op5_bpe": op5_bpe}
+QUERIES = {"op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe}
 ORACLES: dict[str, str] = {}
