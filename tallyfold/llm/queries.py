@@ -29,5 +29,11 @@ def op5_bpe(spark, sf_dir):
     return encode_digests(table(spark, sf_dir, "documents"), bpe_path())
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe}
+def op10_secrets(spark, sf_dir):
+    from tallyfold.llm.secrets import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op10_secrets": op10_secrets}
 ORACLES: dict[str, str] = {}
