@@ -29,11 +29,17 @@ def op5_bpe(spark, sf_dir):
     return encode_digests(table(spark, sf_dir, "documents"), bpe_path())
 
 
+def op7_mixing(spark, sf_dir):
+    from tallyfold.llm.mixing import mixed_counts
+
+    return mixed_counts(table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark, sf_dir):
     from tallyfold.llm.secrets import report
 
     return report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op10_secrets": op10_secrets}
+QUERIES = {"op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op7_mixing": op7_mixing, "op10_secrets": op10_secrets}
 ORACLES: dict[str, str] = {}
