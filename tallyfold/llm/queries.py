@@ -35,11 +35,17 @@ def op7_mixing(spark, sf_dir):
     return mixed_counts(table(spark, sf_dir, "documents"))
 
 
+def op9_fingerprint(spark, sf_dir):
+    from tallyfold.llm.fingerprint import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark, sf_dir):
     from tallyfold.llm.secrets import report
 
     return report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op7_mixing": op7_mixing, "op10_secrets": op10_secrets}
+QUERIES = {"op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op7_mixing": op7_mixing, "op9_fingerprint": op9_fingerprint, "op10_secrets": op10_secrets}
 ORACLES: dict[str, str] = {}
