@@ -5,6 +5,12 @@ from __future__ import annotations
 from tallyfold.llm.common import table
 
 
+def op2_hnsw(spark, sf_dir):
+    from tallyfold.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_toxicity(spark, sf_dir):
     from tallyfold.llm.toxicity import score_toxicity
 
@@ -47,5 +53,5 @@ def op10_secrets(spark, sf_dir):
     return report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op7_mixing": op7_mixing, "op9_fingerprint": op9_fingerprint, "op10_secrets": op10_secrets}
+QUERIES = {"op2_hnsw": op2_hnsw, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op7_mixing": op7_mixing, "op9_fingerprint": op9_fingerprint, "op10_secrets": op10_secrets}
 ORACLES: dict[str, str] = {}
