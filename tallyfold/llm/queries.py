@@ -41,6 +41,14 @@ def op7_mixing(spark, sf_dir):
     return mixed_counts(table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    from tallyfold.llm.tokens import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+
+
 def op9_fingerprint(spark, sf_dir):
     from tallyfold.llm.fingerprint import fingerprints
 
@@ -53,5 +61,5 @@ def op10_secrets(spark, sf_dir):
     return report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_hnsw": op2_hnsw, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op7_mixing": op7_mixing, "op9_fingerprint": op9_fingerprint, "op10_secrets": op10_secrets}
+QUERIES = {"op2_hnsw": op2_hnsw, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op7_mixing": op7_mixing, "op8_token_counts": op8_token_counts, "op9_fingerprint": op9_fingerprint, "op10_secrets": op10_secrets}
 ORACLES: dict[str, str] = {}
