@@ -35,6 +35,12 @@ def op5_bpe(spark, sf_dir):
     return encode_digests(table(spark, sf_dir, "documents"), bpe_path())
 
 
+def op6_suffix(spark, sf_dir):
+    from tallyfold.llm.suffix import dedupe_substrings
+
+    return dedupe_substrings(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark, sf_dir):
     from tallyfold.llm.mixing import mixed_counts
 
@@ -61,5 +67,5 @@ def op10_secrets(spark, sf_dir):
     return report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_hnsw": op2_hnsw, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op7_mixing": op7_mixing, "op8_token_counts": op8_token_counts, "op9_fingerprint": op9_fingerprint, "op10_secrets": op10_secrets}
+QUERIES = {"op2_hnsw": op2_hnsw, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op6_suffix": op6_suffix, "op7_mixing": op7_mixing, "op8_token_counts": op8_token_counts, "op9_fingerprint": op9_fingerprint, "op10_secrets": op10_secrets}
 ORACLES: dict[str, str] = {}
