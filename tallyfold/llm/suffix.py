@@ -85,6 +85,8 @@ def _fragments(length: int, gram: int):
 def suffix_array(s: list[int], size: int) -> list[int]:
     """The suffix array of s by induced sorting. s ends with its only 0; its symbols are below `size`."""
     n = len(s)
+    if n == 1:
+        return [0]
     small = [True] * n  # whether the suffix is smaller than the next one
     for i in range(n - 2, -1, -1):
         small[i] = s[i] < s[i + 1] or (s[i] == s[i + 1] and small[i + 1])
@@ -133,8 +135,8 @@ def suffix_array(s: list[int], size: int) -> list[int]:
             names[i] = name
     if name + 1 < len(leftmost):
         order = suffix_array([names[i] for i in leftmost], name + 1)
-        sa = induce([leftmost[k] for k in order])
-    return sa
+        return induce([leftmost[k] for k in order])
+    return induce([i for i in sa if is_leftmost[i]])
 
 
 def common_prefixes(s: list[int], sa: list[int]) -> list[int]:
