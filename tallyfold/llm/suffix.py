@@ -2,8 +2,9 @@
 
 Every 100-byte string holds, within it, the k-gram of least hash: its anchor. Equal strings have equal anchors, so
 the starts of strings are dealt out by anchor, as fragments: the stretch of one text whose starts share an anchor.
-Equal fragments are settled by counting. Unequal fragments of one anchor meet in a shard, whose suffix array, built
-by induced sorting, and permuted common prefixes tell which of their strings are equal.
+Equal fragments are settled by counting. Unequal fragments of one anchor are cut into steps of a few starts, all of
+whose strings hold the step's core. Equal steps are settled by counting; unequal ones that share a core meet in a
+shard, whose suffix array, built by induced sorting, and permuted common prefixes tell which strings are equal.
 """
 
 from __future__ import annotations
@@ -19,13 +20,13 @@ from pyspark.sql import functions as F
 from tallyfold.llm.common import chunked, mix, record_batch, span_hashes, texts_of
 from tallyfold.plans.materialize import materialize, release_shuffles
 
-LENGTH, GRAM = 100, 16
-#: Bytes of a shard's text; fragments of an anchor beyond which its strings are counted one by one.
-SHARD, CROWD = 1 << 20, 1_000
+LENGTH, GRAM = 100, 32
+#: Starts in a step; symbols of a shard; steps that share a core beyond which their strings are counted one by one.
+STEP, SHARD, CROWD = 16, 1 << 20, 1_000
 #: The place of documents without a doc_id in the order of doc_id.
 LAST = (1 << 63) - 1
 
-_FRAGMENTS = pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("again", pa.bool_())])
+_FRAGMENTS = pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("lead", pa.int32()), ("again", pa.bool_())])
 _REPEATS = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 _REPEATS_DDL = "doc long, start long, n long"
@@ -41,11 +42,14 @@ def _window_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def fragments_of(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """anchor, digest, text, start, n, again of every fragment. again: the same text has an equal fragment before it."""
+    """anchor, digest, text, start, n, lead, again of every fragment.
+
+    lead: from the first start to the anchor. again: the same text has an equal fragment before it.
+    """
     buf = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     if len(buf) < length:
-        return tuple(np.empty(0, np.int64) for _ in range(6))
+        return tuple(np.empty(0, np.int64) for _ in range(7))
     at = np.arange(len(buf) - gram + 1)
     grams = span_hashes(buf, at, at + gram)
     key = grams & np.uint64(0xFFFFFFFF00000000) | at.astype(np.uint64)
@@ -57,7 +61,7 @@ def fragments_of(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray
     np.add.at(inside, offsets[1:][long_] - length + 1, -1)
     starts = np.flatnonzero(np.cumsum(inside)[:-1] > 0)
     if not len(starts):
-        return tuple(np.empty(0, np.int64) for _ in range(6))
+        return tuple(np.empty(0, np.int64) for _ in range(7))
     own = owner[starts]
     cut = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1)]))
     first, n = starts[cut], np.diff(np.append(cut, len(starts)))
@@ -68,7 +72,7 @@ def fragments_of(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray
     same = (np.diff(text[order]) == 0) & (np.diff(anchor[order]) == 0) & (np.diff(digest[order]) == 0)
     again = np.zeros(len(first), bool)
     again[order[1:][same]] = True
-    return anchor, digest, text, first - offsets[text], n, again
+    return anchor, digest, text, first - offsets[text], n, own[cut] - first, again
 
 
 def _fragments(length: int, gram: int):
@@ -76,8 +80,8 @@ def _fragments(length: int, gram: int):
         for batch in batches:
             docs = batch.column(0).to_numpy()
             for base, texts in chunked(texts_of(batch.column(1))):
-                anchor, digest, text, start, n, again = fragments_of(texts, length, gram)
-                yield record_batch(_FRAGMENTS, anchor, digest, docs[base + text], start, n.astype(np.int32), again.astype(bool))
+                anchor, digest, text, start, n, lead, again = fragments_of(texts, length, gram)
+                yield record_batch(_FRAGMENTS, anchor, digest, docs[base + text], start, n.astype(np.int32), lead.astype(np.int32), again.astype(bool))
 
     return run
 
@@ -158,15 +162,18 @@ def common_prefixes(s: list[int], sa: list[int]) -> list[int]:
     return out
 
 
-def shard_repeats(docs: np.ndarray, starts: np.ndarray, pieces: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """doc, start, n: the stretches of starts in the pieces whose string starts before, by doc and start, in another."""
+def shard_repeats(docs: np.ndarray, starts: np.ndarray, pieces: list[list[int]], length: int) -> tuple[np.ndarray, ...]:
+    """doc, start, n: the stretches of starts in the pieces whose string starts before, by doc and start, in another.
+
+    pieces: symbols from 0; length: of a string, in symbols.
+    """
     apart = len(pieces)
     text: list[int] = []
     for k, piece in enumerate(pieces):
         text += [b + apart + 1 for b in piece]
         text.append(k + 1)
     text.append(0)
-    sa = suffix_array(text, apart + 257)
+    sa = suffix_array(text, max(text) + 1)
     shared = np.array(common_prefixes(text, sa))
     order = np.array(sa)
     group = np.cumsum(shared[order] < length)
@@ -189,22 +196,27 @@ def shard_repeats(docs: np.ndarray, starts: np.ndarray, pieces: list[bytes], len
 
 
 def _sorted_shards(length: int, most: int):
-    """Fragments come in the order of anchors; whole anchors are gathered into shards of about `most` bytes."""
+    """Steps come in the order of cores; those of whole cores are gathered into shards of about `most` symbols.
+
+    All strings of a step hold its core, so the core stands as one symbol, and a string is STEP symbols long.
+    """
+    inner = length - STEP + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, starts, pieces, held, anchor = [], [], [], 0, None
+        docs, starts, pieces, held, core, symbol = [], [], [], 0, None, 255
         for batch in batches:
-            for a, d, s, piece in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if a != anchor and held > most:
-                    yield record_batch(_REPEATS, *shard_repeats(np.array(docs), np.array(starts), pieces, length))
-                    docs, starts, pieces, held = [], [], [], 0
-                anchor = a
+            for c, d, s, piece, at in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if c != core and held > most:
+                    yield record_batch(_REPEATS, *shard_repeats(np.array(docs), np.array(starts), pieces, STEP))
+                    docs, starts, pieces, held, symbol = [], [], [], 0, 255
+                symbol += c != core
+                core = c
                 docs.append(d)
                 starts.append(s)
-                pieces.append(piece)
-                held += len(piece)
+                pieces.append([*piece[:at], symbol, *piece[at + inner :]])
+                held += len(pieces[-1])
         if pieces:
-            yield record_batch(_REPEATS, *shard_repeats(np.array(docs), np.array(starts), pieces, length))
+            yield record_batch(_REPEATS, *shard_repeats(np.array(docs), np.array(starts), pieces, STEP))
 
     return run
 
@@ -212,7 +224,7 @@ def _sorted_shards(length: int, most: int):
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD, crowd: int = CROWD) -> DataFrame:
     """doc, start, n: stretches of n starts of strings of `length` bytes that also start earlier. docs: doc (distinct), text."""
     spark = docs.sparkSession
-    frags = docs.select("doc", "text").mapInArrow(_fragments(length, gram), "anchor long, digest long, doc long, start long, n int, again boolean")
+    frags = docs.select("doc", "text").mapInArrow(_fragments(length, gram), "anchor long, digest long, doc long, start long, n int, lead int, again boolean")
     seen = frags.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     shared = materialize(frags.join(seen, "anchor"), "fragments")
     release_shuffles(spark)
@@ -220,20 +232,33 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int
     classed = shared.join(first, ["anchor", "digest"])
     equal = classed.where("again or doc > first_doc").select("doc", "start", F.col("n").cast("long").alias("n"))
 
-    kinds = first.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    heads = classed.where("not again and doc = first_doc").join(kinds, "anchor").select("anchor", "doc", "start", "n", "kinds")
+    kinds = first.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
+    heads = classed.where("not again and doc = first_doc").join(kinds, "anchor").select("doc", "start", "n", "lead")
     cut = F.expr(f"substring(bytes, cast(start + 1 as int), n + {length - 1})")
     with_bytes = docs.select("doc", F.col("text").cast("binary").alias("bytes"))
-    pieces = materialize(heads.join(with_bytes, "doc").select("anchor", "doc", "start", cut.alias("piece"), "kinds"), "pieces")
+    pieces = materialize(heads.join(with_bytes, "doc").select("doc", "start", "n", "lead", cut.alias("piece")), "pieces")
+    release_shuffles(spark)
+    # Step k has the starts that stand k * STEP to k * STEP + STEP - 1 bytes before the anchor.
+    steps = pieces.select("*", F.explode(F.expr(f"sequence(cast((lead - n + 1) div {STEP} as int), cast(lead div {STEP} as int))")).alias("k"))
+    steps = steps.withColumns({"far": F.expr(f"least(lead, k * {STEP} + {STEP - 1})"), "near": F.expr(f"greatest(lead - n + 1, k * {STEP})")})
+    core = F.expr(f"xxhash64(k, substring(piece, lead - k * {STEP} + 1, {length - STEP + 1}))")
+    steps = steps.select(core.alias("core"), "doc", (F.col("start") + F.col("lead") - F.col("far")).alias("start"), F.expr(f"substring(piece, lead - far + 1, far - near + {length})").alias("piece"), F.expr(f"far - k * {STEP}").alias("at"))
+    met = steps.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
+    steps = materialize(steps.join(met, "core").withColumn("digest", F.xxhash64("piece", "at")), "steps")
     release_shuffles(spark)
-    sorted_ = pieces.where(F.col("kinds") <= crowd).select("anchor", "doc", "start", "piece").repartition("anchor").sortWithinPartitions("anchor", "doc", "start")
+    alike = materialize(steps.groupBy("core", "digest").agg(F.min(F.struct("doc", "start", "piece", "at")).alias("least")), "alike")
+    same = steps.join(alike.select("core", "digest", "least.doc", "least.start").toDF("core", "digest", "first_doc", "first_start"), ["core", "digest"])
+    same = same.where("struct(doc, start) > struct(first_doc, first_start)").select("doc", "start", (F.length("piece") - (length - 1)).cast("long").alias("n"))
+    kinds = alike.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    pieces = materialize(alike.join(kinds, "core").select("core", "least.*", "kinds"), "unlike")
+    sorted_ = pieces.where(F.col("kinds") <= crowd).select("core", "doc", "start", "piece", "at").repartition("core").sortWithinPartitions("core", "doc", "start")
     unequal = sorted_.mapInArrow(_sorted_shards(length, shard), _REPEATS_DDL)
 
     strings = pieces.where(F.col("kinds") > crowd).select("doc", F.posexplode(F.expr(f"transform(sequence(1, length(piece) - {length - 1}), i -> substring(piece, i, {length}))")).alias("k", "string"), "start")
     strings = strings.select("doc", (F.col("start") + F.col("k")).alias("start"), F.xxhash64("string").alias("h1"), F.xxhash64("string", F.lit(1)).alias("h2"))
     least = strings.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("least"))
     crowded = strings.join(least, ["h1", "h2"]).where("struct(doc, start) > least").select("doc", "start", F.lit(1).cast("long").alias("n"))
-    return equal.unionAll(unequal).unionAll(crowded)
+    return equal.unionAll(same).unionAll(unequal).unionAll(crowded)
 
 
 def _kept(length: int):
