@@ -5,6 +5,12 @@ from __future__ import annotations
 from tallyfold.llm.common import table
 
 
+def op1_passages(spark, sf_dir):
+    from tallyfold.llm.passages import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_hnsw(spark, sf_dir):
     from tallyfold.llm.ann import nearest
 
@@ -67,5 +73,5 @@ def op10_secrets(spark, sf_dir):
     return report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_hnsw": op2_hnsw, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op6_suffix": op6_suffix, "op7_mixing": op7_mixing, "op8_token_counts": op8_token_counts, "op9_fingerprint": op9_fingerprint, "op10_secrets": op10_secrets}
+QUERIES = {"op1_passages": op1_passages, "op2_hnsw": op2_hnsw, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op6_suffix": op6_suffix, "op7_mixing": op7_mixing, "op8_token_counts": op8_token_counts, "op9_fingerprint": op9_fingerprint, "op10_secrets": op10_secrets}
 ORACLES: dict[str, str] = {}
