@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.common import chunked, mix, record_batch, span_hashes, texts_of
-from tallyfold.plans.materialize import materialize, release_shuffles
+from tallyfold.plans.materialize import discard, materialize, release_shuffles
 
 LENGTH, GRAM = 100, 32
 #: Starts in a step; symbols of a shard; steps that share a core beyond which their strings are counted one by one.
@@ -26,7 +26,7 @@ STEP, SHARD, CROWD = 16, 1 << 20, 1_000
 #: The place of documents without a doc_id in the order of doc_id.
 LAST = (1 << 63) - 1
 
-_FRAGMENTS = pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("lead", pa.int32()), ("again", pa.bool_())])
+_FRAGMENTS = pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("doc", pa.int64()), ("place", pa.int64())])
 _REPEATS = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 _REPEATS_DDL = "doc long, start long, n long"
@@ -81,7 +81,7 @@ def _fragments(length: int, gram: int):
             docs = batch.column(0).to_numpy()
             for base, texts in chunked(texts_of(batch.column(1))):
                 anchor, digest, text, start, n, lead, again = fragments_of(texts, length, gram)
-                yield record_batch(_FRAGMENTS, anchor, digest, docs[base + text], start, n.astype(np.int32), lead.astype(np.int32), again.astype(bool))
+                yield record_batch(_FRAGMENTS, anchor, digest, docs[base + text], start << 33 | n << 17 | lead << 1 | again.astype(np.int64))
 
     return run
 
@@ -222,12 +222,14 @@ def _sorted_shards(length: int, most: int):
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD, crowd: int = CROWD) -> DataFrame:
-    """doc, start, n: stretches of n starts of strings of `length` bytes that also start earlier. docs: doc (distinct), text."""
+    """doc, stretches (start, n): stretches of n starts of strings of `length` bytes that also start earlier. docs: doc (distinct), text."""
     spark = docs.sparkSession
-    frags = docs.select("doc", "text").mapInArrow(_fragments(length, gram), "anchor long, digest long, doc long, start long, n int, lead int, again boolean")
+    frags = docs.select("doc", "text").mapInArrow(_fragments(length, gram), "anchor long, digest long, doc long, place long")
     seen = frags.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    shared = materialize(frags.join(seen, "anchor"), "fragments")
+    kept = [materialize(frags.join(seen, "anchor"), "fragments")]
     release_shuffles(spark)
+    parts = ["place >> 33 as start", "cast(place >> 17 & 65535 as int) as n", "cast(place >> 1 & 65535 as int) as lead", "place & 1 = 1 as again"]
+    shared = kept[0].selectExpr("anchor", "digest", "doc", *parts)
     first = materialize(shared.where("not again").groupBy("anchor", "digest").agg(F.min("doc").alias("first_doc")), "classes")
     classed = shared.join(first, ["anchor", "digest"])
     equal = classed.where("again or doc > first_doc").select("doc", "start", F.col("n").cast("long").alias("n"))
@@ -245,6 +247,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int
     steps = steps.select(core.alias("core"), "doc", (F.col("start") + F.col("lead") - F.col("far")).alias("start"), F.expr(f"substring(piece, lead - far + 1, far - near + {length})").alias("piece"), F.expr(f"far - k * {STEP}").alias("at"))
     met = steps.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
     steps = materialize(steps.join(met, "core").withColumn("digest", F.xxhash64("piece", "at")), "steps")
+    discard(pieces)
     release_shuffles(spark)
     alike = materialize(steps.groupBy("core", "digest").agg(F.min(F.struct("doc", "start", "piece", "at")).alias("least")), "alike")
     same = steps.join(alike.select("core", "digest", "least.doc", "least.start").toDF("core", "digest", "first_doc", "first_start"), ["core", "digest"])
@@ -258,7 +261,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int
     strings = strings.select("doc", (F.col("start") + F.col("k")).alias("start"), F.xxhash64("string").alias("h1"), F.xxhash64("string", F.lit(1)).alias("h2"))
     least = strings.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("least"))
     crowded = strings.join(least, ["h1", "h2"]).where("struct(doc, start) > least").select("doc", "start", F.lit(1).cast("long").alias("n"))
-    return equal.unionAll(same).unionAll(unequal).unionAll(crowded)
+    all_ = equal.unionAll(same).unionAll(unequal).unionAll(crowded)
+    found = materialize(all_.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("stretches")), "repeats")
+    for table in (*kept, first, steps, alike, pieces):
+        discard(table)
+    release_shuffles(spark)
+    return found
 
 
 def _kept(length: int):
@@ -295,7 +303,5 @@ def dedupe_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, s
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     if docs.groupBy("doc").count().where("count > 1").limit(1).count():
         docs = materialize(docs.groupBy("doc").agg(F.min("text").alias("text")), "documents")
-    found = materialize(repeats(docs, length, gram, shard, crowd).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("stretches")), "repeats")
-    release_shuffles(docs.sparkSession)
-    both = docs.join(found, "doc", "left").select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "text", "stretches")
+    both = docs.join(repeats(docs, length, gram, shard, crowd), "doc", "left").select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "text", "stretches")
     return both.mapInArrow(_kept(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
