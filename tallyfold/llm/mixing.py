@@ -55,7 +55,7 @@ def draws(slots: np.ndarray, shard: int, seed: int) -> np.ndarray:
             room -= int(drawn.sum())
         left -= got
         rows.append(got)
-    return np.array(rows, np.int64).reshape(-1, len(slots))
+    return np.array(rows, np.int64).reshape(len(rows), len(slots))
 
 
 def permute(index: np.ndarray, size: int, key: int) -> np.ndarray:
@@ -117,7 +117,7 @@ class Mix:
         k, sid = np.nonzero(counts)
         plan = pd.DataFrame({"sid": sid.astype(np.int32), "first": first[k, sid], "n": counts[k, sid]})
         have = {i: -(-r[2] // block) for i, r in enumerate(rows)}
-        plan = spark.createDataFrame(plan, "sid int, first long, n long").repartition(max(1, min(len(plan), 2000)))
+        plan = spark.createDataFrame(plan.values.tolist(), "sid int, first long, n long").repartition(max(1, min(len(plan), 2000)))
         taken = plan.mapInArrow(_drawn_blocks(have, seed), "sid int, block long").groupBy("sid", "block").agg(F.count("*").alias("times"))
 
         self.offsets = self._offsets(sizes)
