@@ -129,7 +129,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
-    """docs with every found span of the text replaced by the mark (overlapping spans by one), all columns kept. Null texts become empty."""
+    """docs with every found span of the text replaced by the mark (overlapping spans by one), all columns kept. Null texts stay null."""
     kept = F.expr(
         f"""if(size(spans_all) = 0, text, aggregate(spans_all, struct(0 as at, '' as out),
         (acc, x) -> struct(greatest(acc.at, x.end) as at,
