@@ -11,6 +11,10 @@ from tallyfold.operators.records import broken_rules
 #: What the target accepts.
 COST_CENTERS = ("CC-100", "CC-200", "CC-300", "CC-400", "CC-500")
 EMPLOYMENT_TYPES = ("full_time", "part_time", "contract")
+DESIGNATIONS = (
+    "Software Engineer", "Senior Software Engineer", "Engineering Manager", "Data Analyst", "Business Analyst", "Sales Executive", "Account Manager",
+    "HR Specialist", "Finance Analyst", "Operations Manager", "Customer Support Associate", "Legal Counsel", "Marketing Specialist", "Director",
+)
 
 
 def resolve(open_: DataFrame, answers: DataFrame) -> DataFrame:
@@ -43,10 +47,11 @@ def judge_fills(records: DataFrame, rule: str, field: str, proposed: Column) ->
     return after.select(*records.columns, newly.alias("newly_broken"), unfixed.alias("unfixed"), ((F.size(newly) == 0) & ~unfixed).alias("accepted"))
 
 
-def target_verdict(cost_center: Column, employment_type: Column, born: Column) -> Column:
-    """The target's refusal of a payload, or null; the first failure wins, absent values pass, a birth date is needed."""
+def target_verdict(cost_center: Column, employment_type: Column, designation: Column, born: Column) -> Column:
+    """The field for which the target refuses a payload, or null; the first failure wins, absent values pass, a birth date is needed."""
     odd = lambda c, allowed: F.coalesce((c != "") & ~c.isin(*allowed), F.lit(False))
-    return F.when(odd(cost_center, COST_CENTERS), "cost_center").when(odd(employment_type, EMPLOYMENT_TYPES), "employment_type").when(born.isNull(), "date_of_birth")
+    out = F.when(odd(cost_center, COST_CENTERS), "cost_center").when(odd(employment_type, EMPLOYMENT_TYPES), "employment_type")
+    return out.when(odd(designation, DESIGNATIONS), "designation").when(F.coalesce(born, F.lit("")) == "", "date_of_birth")
 
 
 def delivery_decision(status: Column, attempt: Column, policy: Policy = Policy()) -> Column:

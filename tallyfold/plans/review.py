@@ -51,13 +51,13 @@ def fill_verdicts(spark, sf_dir):
     return judged.select("k", F.col("termination_date").cast("string").alias("filled"), F.array_join("newly_broken", ",").alias("newly_broken"), "unfixed", "accepted")
 
 
-_PAYLOADS = "select k, 'CC-' || cast(100 * (1 + k % 7) as string) as cost_center, case k % 4 when 0 then 'full_time' when 1 then 'intern' when 2 then '' end as employment_type, nullif(date_of_birth, '') as born from hris"
+_PAYLOADS = "select k, 'CC-' || cast(100 * (1 + k % 7) as string) as cost_center, case k % 4 when 0 then 'full_time' when 1 then 'intern' when 2 then '' end as employment_type, case k % 9 when 0 then 'Dircetor' when 1 then '' else 'Director' end as designation, date_of_birth as born from hris"
 
 
-@_query(f"with {_HRIS}, payloads as ({_PAYLOADS}) select k, case when cost_center not in ('CC-100', 'CC-200', 'CC-300', 'CC-400', 'CC-500') then 'cost_center' when employment_type = 'intern' then 'employment_type' when born is null then 'date_of_birth' end as refused from payloads")
+@_query(f"with {_HRIS}, payloads as ({_PAYLOADS}) select k, case when cost_center not in ('CC-100', 'CC-200', 'CC-300', 'CC-400', 'CC-500') then 'cost_center' when employment_type = 'intern' then 'employment_type' when designation = 'Dircetor' then 'designation' when born = '' then 'date_of_birth' end as refused from payloads")
 def target_verdicts(spark, sf_dir):
     payloads = A.view(spark, sf_dir, _PAYLOADS, hris=A.hris_records(spark, sf_dir))
-    return payloads.select("k", V.target_verdict(F.col("cost_center"), F.col("employment_type"), F.col("born")).alias("refused"))
+    return payloads.select("k", V.target_verdict(F.col("cost_center"), F.col("employment_type"), F.col("designation"), F.col("born")).alias("refused"))
 
 
 @_query(f"with {_ATT} select record_id, attempt_number, case when status_code in {_CODES_AGAIN} and attempt_number <= 4 then 'retry' when status_code in {_CODES_AGAIN} then 'PUSH_UNREACHABLE' when status_code in (400, 409, 422) then 'PUSH_REJECTED' else 'done' end as decision from attempts")
