@@ -64,9 +64,14 @@ def _variants(nodes: DataFrame) -> DataFrame:
     )
 
 
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits. Of signed values bitwise_count counts the bits of the absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def _star(fps: np.ndarray, nodes: np.ndarray, side: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a forest that spans what is linked within a bucket, or across its two blocks."""
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= most
+    near = _distance(fps[:, None], fps[None, :]) <= most
     if side[0] != side[-1]:
         near &= side[:, None] != side[None, :]
     i, j = np.nonzero(np.triu(near, 1))
@@ -88,7 +93,7 @@ def _verify(most: int):
         cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         sizes = np.diff(cuts)
         two = cuts[:-1][sizes == 2]
-        two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= most]
+        two = two[_distance(fp[two], fp[two + 1]) <= most]
         src, dst = [node[two]], [node[two + 1]]
         for at, n in zip(cuts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
             a, b = _star(fp[at : at + n], node[at : at + n], side[at : at + n], most)

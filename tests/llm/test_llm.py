@@ -145,6 +145,18 @@ def test_simhash(spark, texts):
     assert join([(r["src"], r["dst"]) for r in edges]) == join([(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3])
 
 
+def test_simhash_top_bit(spark):
+    from tallyfold.llm.simhash import links
+
+    signed = lambda bits: sum(1 << b if b < 63 else -(1 << 63) for b in bits)
+    linked = lambda fps: links(spark.createDataFrame([(f, k) for k, f in enumerate(fps)], "fp long, node long")).count()
+    for bits in ([63], [63, 0], [63, 5], [63, 5, 40], [63, 62, 61]):
+        assert linked([0, signed(bits)]) == 1, bits
+    assert linked([0, signed([60, 61, 62, 63])]) == 0
+    crowd = [0, signed([63, 7]), signed([63, 7, 9]), signed([60, 61, 62, 63, 30])]  # a bucket of more than two
+    assert len(_parts(4, [(r["src"], r["dst"]) for r in links(spark.createDataFrame([(f, k) for k, f in enumerate(crowd)], "fp long, node long")).collect()])) == 2
+
+
 def _parts(n, edges):
     label = list(range(n))
     changed = True
