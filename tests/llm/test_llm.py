@@ -56,6 +56,23 @@ def test_passages(spark, texts):
         assert common_words(a, b) == t[-1][-1]
 
 
+def test_passages_fuzzy(spark):
+    from tallyfold.llm.passages import common_words, repeated_passages
+
+    rng = random.Random(12)
+    other = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    made, want = [], set()
+    for size, share in [(60, 0.1), (60, 0.15), (40, 0.1), (25, 0.0), (27, 0.0)] * 40:
+        a = other(size)
+        b = [x if rng.random() >= share else other(1)[0] for x in a]
+        if common_words(a, b) >= 0.8 * size:
+            want.add((len(made) + 1, len(made)))
+        made += [other(40) + a + other(40), other(40) + b + other(40)]
+    rows = repeated_passages(docs_of(spark, [" ".join(x) for x in made])).collect()
+    lost = want - {(r["doc_id"], r["match_doc_id"]) for r in rows}
+    assert len(lost) <= 0.02 * len(want) and all(r["identity"] >= 0.8 and r["match_doc_id"] == r["doc_id"] - 1 for r in rows), (len(lost), len(want))
+
+
 def test_nearest(spark):
     from tallyfold.llm.ann import nearest
 
