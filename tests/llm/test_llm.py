@@ -56,6 +56,22 @@ def test_passages(spark, texts):
         assert common_words(a, b) == t[-1][-1]
 
 
+def test_passages_of_lines_seen_apart(spark):
+    from tallyfold.llm.passages import repeated_passages
+
+    rng = random.Random(11)
+    other = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    lines = [other(15) for _ in range(3)]
+    short = [other(10) for _ in range(3)]
+    made = [other(30) + x + other(30) for x in lines] + [other(20) + sum(lines, []) + other(20) for _ in range(2)]
+    made += [other(9) + short[0] + short[1] + other(9), other(9) + short[1] + short[2] + other(9)]  # no 25 words of the next two
+    made += [other(20) + sum(short, []) + other(20) for _ in range(2)]
+    made += [other(20) + lines[0] + other(60) + sum(lines, []) + other(20)]  # a line, and then again in the passage
+    got = repeated_passages(docs_of(spark, [" ".join(x) for x in made])).collect()
+    at = {(r["doc_id"], r["match_doc_id"]): (r["start_word"], r["end_word"]) for r in got}
+    assert at[4, 3] == (20, 65) and at[8, 7] == (20, 50) and at[9, 3] == (95, 140)
+
+
 def test_passages_fuzzy(spark):
     from tallyfold.llm.passages import common_words, repeated_passages
 
