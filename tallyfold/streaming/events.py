@@ -1,4 +1,4 @@
-"""The event log as a stream: a tail from a cursor, running counts, and the delta of a stream of payloads."""
+"""The event log as a stream: a tail from a cursor, running counts, and windows."""
 
 from __future__ import annotations
 
