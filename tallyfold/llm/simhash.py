@@ -14,17 +14,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tallyfold.llm.common import record_batch, texts_of
 from tallyfold.operators.graph import connected_components
-from tallyfold.plans.materialize import materialize
+from tallyfold.plans.materialize import materialize, row_key
 
 SHINGLE = 3
 MAX_DISTANCE = 3
 #: Fingerprints of one bucket that a task compares at once; larger buckets are cut into blocks, and pairs of blocks are tasks' units.
 BLOCK = 1024
 
-_PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+#: Names of a row's key, beside any columns that a table has.
+_OWN = ("__simhash_file", "__simhash_row")
 _EDGES = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
 
@@ -47,13 +49,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (signed 64 bits) of each row of docs; null texts count as empty, whose fingerprint is zero."""
+    """docs with fp (signed 64 bits) in the place of the column text; null texts count as empty, whose fingerprint is zero."""
+    rest = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield record_batch(_PRINTS, batch.column(0), [fingerprint(t, shingle) for t in texts_of(batch.column(1))])
+            prints = pa.array([fingerprint(t, shingle) for t in texts_of(batch.column("text"))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), prints], names=[*rest, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    schema = StructType([*(f for f in docs.schema.fields if f.name != "text"), StructField("fp", LongType())])
+    return docs.mapInArrow(run, schema)
 
 
 def _variants(nodes: DataFrame) -> DataFrame:
@@ -151,8 +156,28 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_DIS
     `most` differing bits. Rows with a null doc_id get a fingerprint and the component of that fingerprint's other
     rows (null if there are none). Repeated rows stay; extra columns are ignored; an empty table gives no rows.
     """
-    prints = materialize(fingerprints(docs, shingle), "simhash")
+    prints = materialize(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle), "simhash")
     nodes = materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     parts = connected_components(links(nodes, most, block))
     classes = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(classes, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_DISTANCE, block: int = BLOCK) -> DataFrame:
+    """docs, all columns, with one row of each component of near_duplicates(): that with the smallest doc_id.
+
+    Null doc_ids come last, and of equal doc_ids the first row in the first file by hash stays; a component of rows
+    without doc_id keeps one of them. Texts that are empty, null or white space are one component. An empty table
+    gives no rows. Components are found over fingerprints and row keys alone; the outcome meets the texts once.
+    """
+    docs, key = row_key(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *key, "text")
+    prints = materialize(fingerprints(rows, shingle), "simhash")
+    # A node is a fingerprint's least row: that of the least doc_id, nulls last.
+    least = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "file", "row")
+    nodes = materialize(prints.groupBy("fp").agg(F.min(least).alias("least")).select("fp", F.col("fp").alias("node"), "least"), "nodes")
+    parts = connected_components(links(nodes.select("fp", "node"), most, block))
+    heads = nodes.join(parts, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("least").alias("least")).select("least.file", "least.row")
+    # Neither side has a bound that would allow a broadcast: the texts are dealt out by row, which no key can skew.
+    kept = docs.withColumns(dict(zip(_OWN, key, strict=True))).join(heads.toDF(*_OWN).hint("merge"), list(_OWN), "left_semi")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,18 +8,18 @@ evidence that does not depend on the length of the text; a logistic link turns t
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.common import LOWER, byte_class, chunked, record_batch, span_hashes, texts_of, word_spans
-from tallyfold.plans.materialize import materialize
+from tallyfold.plans.materialize import discard, materialize
 
-#: Tokens are hashed to so many slots: the model's size, and so what is broadcast, does not grow with the corpus.
-SLOTS = 1 << 18
+#: Distinct tokens that a counting task holds before it passes them on.
+HELD = 1 << 19
 #: Labelled rows that the model is fitted on, at most (in expectation, by a hash of doc_id).
 MAX_TRAIN = 200_000
 #: Weight of the prior, in tokens; least standard score of a token's log-odds; score of a token that says nothing.
@@ -27,47 +27,67 @@ PRIOR, LEAST_Z, DRIFT = 2_000.0, 4.0, -0.05
 THRESHOLD = 0.3
 
 _WORD = byte_class(lambda b: b >= 0x80 or chr(b).isalnum() or b == 0x27)
-_COUNTS = pa.schema([("slot", pa.int32()), ("n", pa.int64()), ("toxic", pa.int64()), ("clean", pa.int64())])
-_RAW = pa.schema(
-    [("doc_id", pa.int64()), ("n_words", pa.int64()), ("top", pa.float64()), ("total", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))]
-)
-_RAW_DDL = "doc_id long, n_words long, top double, total double, spans array<struct<start:long,end:long,score:double>>"
+_COUNTS = pa.schema([("token", pa.int64()), ("n", pa.int64()), ("toxic", pa.int64()), ("clean", pa.int64())])
+_TOLD = pa.schema([("n_words", pa.int64()), ("top", pa.float64()), ("total", pa.float64()), ("toxic", pa.int32())])
+_SPAN = "struct<start:long,end:long,score:double>"
+_SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))])
 
 
 @dataclass(frozen=True)
 class Model:
-    scores: np.ndarray  # by slot
+    tokens: np.ndarray  # ascending hashes of the tokens that tell toxic from clean texts
+    scores: np.ndarray  # one for each, and last that of all other tokens
     rate: float  # lambda: score unit of the extreme-value law
-    mode: float  # of the law of the best segment in clean texts
-    scale: float
-    weights: tuple[float, ...]  # of the logistic link
+    mode: float = 0.0  # of the law of the best segment in clean texts
+    scale: float = 1.0
+    weights: tuple[float, ...] = (-3.0, 1.0, 1.0)  # of the logistic link
 
 
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Slots, starts, ends of all tokens of the texts laid end to end; each text's first token; each text's start."""
+    """Hashes, starts, ends of all tokens of the texts laid end to end; each text's first token; each text's start."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     offsets = np.concatenate([[0], np.cumsum(sizes + 1)])
     buf = LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
     starts, ends = word_spans(buf, _WORD)
-    slots = (span_hashes(buf, starts, ends) & np.uint64(SLOTS - 1)).astype(np.int64)
-    return slots, starts, ends, np.searchsorted(starts, offsets), offsets
+    return span_hashes(buf, starts, ends).view(np.int64), starts, ends, np.searchsorted(starts, offsets), offsets
+
+
+def _summed(parts: list[np.ndarray]) -> np.ndarray:
+    """Rows of token, n, toxic, clean with one row for each token, in the order of tokens."""
+    rows = np.concatenate(parts)
+    rows = rows[np.argsort(rows[:, 0], kind="stable")]
+    first = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])) if len(rows) else np.empty(0, np.int64)
+    out = np.add.reduceat(rows, first) if len(first) else rows
+    out[:, 0] = rows[first, 0]
+    return out
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = np.zeros((3, SLOTS), np.int64)
+    """Of each token: its number in all texts, and the labelled texts of either kind that hold it."""
+    held, size = [], 0
     for batch in batches:
-        label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
+        label = batch.column(1).to_numpy(zero_copy_only=False)
         for at, texts in chunked(texts_of(batch.column(0))):
-            slots, _, _, first, _ = _tokens(texts)
-            seen[0] += np.bincount(slots, minlength=SLOTS)
+            tokens, _, _, first, _ = _tokens(texts)
+            kinds, place, n = np.unique(tokens, return_inverse=True, return_counts=True)
+            own = np.zeros((len(kinds), 4), np.int64)
+            own[:, 0], own[:, 1] = kinds, n
             of = np.repeat(np.arange(len(texts)), np.diff(first))
             told = label[at : at + len(texts)][of] >= 0
-            once = np.unique(of[told] * SLOTS + slots[told])  # a token counts once for each labelled text
-            is_toxic = label[at : at + len(texts)][once // SLOTS] == 1
-            for k, part in ((1, once[is_toxic]), (2, once[~is_toxic])):
-                seen[k] += np.bincount(part % SLOTS, minlength=SLOTS)
-    used = np.flatnonzero(seen[0])
-    yield record_batch(_COUNTS, used.astype(np.int32), *(s[used] for s in seen))
+            once = np.unique(of[told] * max(1, len(kinds)) + place[told])  # a token counts once for each labelled text
+            toxic = label[at : at + len(texts)][once // max(1, len(kinds))] == 1
+            for k, part in ((2, once[toxic]), (3, once[~toxic])):
+                own[:, k] = np.bincount(part % max(1, len(kinds)), minlength=len(kinds))
+            held.append(own)
+            size += len(own)
+            if size > HELD:
+                held = [_summed(held)]
+                size = len(held[0])
+                if size > HELD // 2:
+                    yield record_batch(_COUNTS, *held[0].T)
+                    held, size = [], 0
+    if held:
+        yield record_batch(_COUNTS, *_summed(held).T)
 
 
 def segments(before: list[float], after: list[float], at: list[int]) -> list[tuple[int, int, float]]:
@@ -100,29 +120,28 @@ def segments(before: list[float], after: list[float], at: list[int]) -> list[tup
     return [(a, b, y - x) for a, b, x, y in zip(first, last, left, right, strict=True)]
 
 
-def _scan(scores: np.ndarray, rate: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            words, top, total, spans = np.zeros(n, np.int64), np.zeros(n), np.zeros(n), [[] for _ in range(n)]
-            for base, texts in chunked(texts_of(batch.column(1))):
-                slots, starts, ends, first, offsets = _tokens(texts)
-                value = scores[slots]
-                sums = np.concatenate([[0.0], np.cumsum(value)])
-                hot = np.flatnonzero(value > 0)
-                cut = np.searchsorted(hot, first)
-                words[base : base + len(texts)] = np.diff(first)
-                for k in np.flatnonzero(np.diff(cut)).tolist():
-                    own = hot[cut[k] : cut[k + 1]]
-                    found = segments(sums[own].tolist(), sums[own + 1].tolist(), own.tolist())
-                    floor = np.log(max(1, words[base + k]))
-                    top[base + k] = max(s for _, _, s in found)
-                    strong = [(a, b, rate * s - floor) for a, b, s in found if rate * s > floor]
-                    total[base + k] = sum(s for *_, s in strong)
-                    spans[base + k] = [{"start": int(starts[a] - offsets[k]), "end": int(ends[b - 1] - offsets[k]), "score": s} for a, b, s in strong]
-            yield record_batch(_RAW, batch.column(0), words, top, total, spans)
-
-    return run
+def _evidence(texts: list[bytes], model: Model, places: bool) -> Iterator[tuple[int, float, float, list[dict]]]:
+    """Of each text: its tokens, its best segment's score, the evidence of all segments, and (with `places`) these."""
+    for _, part in chunked(texts):
+        tokens, starts, ends, first, offsets = _tokens(part)
+        at = np.searchsorted(model.tokens, tokens)
+        hit = at < len(model.tokens)
+        hit[hit] = model.tokens[at[hit]] == tokens[hit]
+        value = np.where(hit, model.scores[at], model.scores[-1])
+        sums = np.concatenate([[0.0], np.cumsum(value)])
+        hot = np.flatnonzero(value > 0)
+        cut = np.searchsorted(hot, first)
+        words = np.diff(first)
+        for k in range(len(part)):
+            if cut[k] == cut[k + 1]:
+                yield int(words[k]), 0.0, 0.0, []
+                continue
+            own = hot[cut[k] : cut[k + 1]]
+            found = segments(sums[own].tolist(), sums[own + 1].tolist(), own.tolist())
+            floor = np.log(max(1, words[k]))
+            strong = [(a, b, model.rate * s - floor) for a, b, s in found if model.rate * s > floor]
+            spans = [{"start": int(starts[a] - offsets[k]), "end": int(ends[b - 1] - offsets[k]), "score": s} for a, b, s in strong] if places else []
+            yield int(words[k]), max(s for _, _, s in found), sum(s for *_, s in strong), spans
 
 
 def _rate(scores: np.ndarray, p: np.ndarray) -> float:
@@ -139,17 +158,25 @@ def _rate(scores: np.ndarray, p: np.ndarray) -> float:
     return hi
 
 
-def token_scores(n: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, float]:
-    """Scores by slot, and their rate. n: tokens in all texts; toxic, clean: labelled texts that hold the token."""
-    prior = PRIOR * (n + 0.01) / (n + 0.01).sum()
-    a, b = toxic + prior, clean + prior
-    odds = np.log(a / (a.sum() - a)) - np.log(b / (b.sum() - b))
-    z = odds / np.sqrt(1 / a + 1 / b)
-    scores = np.where(np.abs(z) >= LEAST_Z, np.clip(odds, -2, 8), 0.0)
-    share = prior / prior.sum()
+def _telling(counts: DataFrame) -> Model:
+    """The tokens whose log-odds under the Dirichlet prior stand out, and their scores; the others' score is a drift.
+
+    counts: token, n, toxic, clean. What comes to the driver has at least LEAST_Z ** 2 labelled texts behind each
+    token, so its size is bounded by the labelled rows, not by the vocabulary.
+    """
+    total = counts.agg(F.sum(F.col("n") + 0.01).alias("n"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()
+    if not total["n"]:
+        return Model(np.empty(0, np.int64), np.array([DRIFT]), 1.0)
+    rows = counts.withColumn("share", (F.col("n") + 0.01) / total["n"])
+    rows = rows.withColumns({"a": F.col("toxic") + PRIOR * F.col("share"), "b": F.col("clean") + PRIOR * F.col("share")})
+    logit = lambda c, labelled: F.log(F.col(c) / F.greatest(F.lit(float(labelled) + PRIOR) - F.col(c), F.lit(1e-9)))
+    rows = rows.withColumn("odds", logit("a", total["toxic"]) - logit("b", total["clean"]))
+    found = rows.where(F.abs("odds") >= LEAST_Z * F.sqrt(1 / F.col("a") + 1 / F.col("b"))).select("token", "share", "odds").toArrow().sort_by("token")
+    tokens, share, odds = (found[c].to_numpy() for c in ("token", "share", "odds"))
+    scores = np.clip(odds, -2, 8)
     drift = min(DRIFT, DRIFT - float(share @ scores))  # the mean over all text has to be negative
-    scores = np.where(scores == 0, drift, scores)
-    return scores, _rate(scores, share)
+    scores = np.append(scores, drift)
+    return Model(tokens, scores, _rate(scores, np.append(share, max(0.0, 1 - share.sum()))))
 
 
 def _features(top, total, n, rate: float, mode: float, scale: float):
@@ -171,45 +198,84 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(w.tolist())
 
 
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
+    """The model of docs (doc_id, text) and labels, as score_toxicity() says."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
+    known = known.where(_fold() != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    size = known.count()
+    if size > max_train:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_train / size))
+    known = materialize(known, "labels")
+    told = F.broadcast(known)  # max_train rows of 12 bytes
+    labelled = docs.join(told, "doc_id", "left").select("text", F.coalesce("toxic", F.lit(-1)).alias("toxic"))
+    counts = labelled.mapInArrow(_count, "token long, n long, toxic long, clean long").groupBy("token").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "clean")])
+    counts = materialize(counts, "tokens")
+    model = _telling(counts)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [x[:3] for x in _evidence(texts_of(batch.column(0)), model, False)]
+            yield record_batch(_TOLD, *(map(list, zip(*rows, strict=True)) if rows else ([], [], [])), batch.column(1))
+
+    sample = docs.join(told, "doc_id").select("text", "toxic").mapInArrow(scan, "n_words long, top double, total double, toxic int").toArrow()  # max_train rows
+    discard(counts)
+    discard(known)
+    n, top, total, y = (sample[c].to_numpy().astype(np.float64) for c in ("n_words", "top", "total", "toxic"))
+    calm = (y == 0) & (top > 0)
+    x = np.sort(model.rate * top[calm] - np.log(np.maximum(n[calm], 1)))  # sorted, so that reruns add up alike
+    scale = float(max(np.std(x) * np.sqrt(6) / np.pi, 0.1)) if calm.sum() > 1 else 1.0
+    mode = float(np.mean(x) - np.euler_gamma * scale) if calm.any() else 0.0
+    order = np.lexsort((y, total, top, n))
+    weights = _logistic(_features(top, total, n, model.rate, mode, scale)[order], y[order]) if len(y) else model.weights
+    return replace(model, mode=mode, scale=scale, weights=weights)
+
+
+def _scores(texts: list[bytes], model: Model, places: bool) -> tuple[np.ndarray, list[tuple]]:
+    rows = list(_evidence(texts, model, places))
+    n, top, total = (np.array([r[k] for r in rows], np.float64) for k in range(3))
+    z = _features(top, total, n, model.rate, model.mode, model.scale) @ np.array(model.weights)
+    return 1 / (1 + np.exp(-np.clip(z, -700, 700))), rows
+
+
+def _fold() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """doc_id, held_out, score, predicted, n_words, spans (start, end in UTF-8 bytes, evidence) of each row of docs.
 
     labels: doc_id, toxic (0 or 1; other values and null doc_ids are left out; of repeated rows the largest counts).
     The model is learnt from rows whose crc32(doc_id as text) mod 4 is not 2, from `max_train` of them where there
     are more; the prior is counted over all texts. Null and empty texts have no tokens and the score of a text
-    without evidence; so has every text if there are no labels. Rows with a null doc_id are scored and count as
-    held out. Repeated rows stay; ties in a text go to the earlier segment; an empty table gives no rows; extra
-    columns are ignored.
+    without evidence; so has every text if there are no labels. Texts are scored whole, however long. Rows with a
+    null doc_id are scored and count as held out. Repeated rows stay; ties in a text go to the earlier segment; an
+    empty table gives no rows; extra columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
-    known = known.where(fold != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    size = known.count()
-    if size > max_train:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_train / size))
-    known = F.broadcast(materialize(known, "labels"))  # max_train rows of 12 bytes
+    model = fit(docs, labels, max_train)
 
-    counted = docs.join(known, "doc_id", "left").select("text", F.coalesce("toxic", F.lit(-1)).alias("toxic")).mapInArrow(_count, "slot int, n long, toxic long, clean long")
-    table = counted.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()  # SLOTS rows at most
-    counts = np.zeros((3, SLOTS))
-    for k, name in enumerate(("n", "toxic", "clean")):
-        counts[k, table["slot"].to_numpy()] = table[name].to_numpy()
-    scores, rate = token_scores(*counts)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score, rows = _scores(texts_of(batch.column(1)), model, True)
+            yield record_batch(_SCORED, batch.column(0), score, [r[0] for r in rows], [r[3] for r in rows])
 
-    raw = materialize(docs.mapInArrow(_scan(scores.astype(np.float32), rate), _RAW_DDL), "segments")
-    sample = raw.join(known, "doc_id").select("n_words", "top", "total", "toxic").toArrow()  # max_train rows
-    n, top, total, y = (sample[c].to_numpy().astype(np.float64) for c in ("n_words", "top", "total", "toxic"))
-    calm = (y == 0) & (top > 0)
-    x = rate * top[calm] - np.log(np.maximum(n[calm], 1))
-    scale = float(max(np.std(x) * np.sqrt(6) / np.pi, 0.1)) if calm.sum() > 1 else 1.0
-    mode = float(np.mean(x) - np.euler_gamma * scale) if calm.any() else 0.0
-    weights = _logistic(_features(top, total, n, rate, mode, scale), y) if len(y) else (-3.0, 1.0, 1.0)
-
-    z = (F.lit(rate) * F.col("top") - F.log(F.greatest("n_words", F.lit(1))) - F.lit(mode)) / F.lit(scale)
-    tail = -F.expm1(-F.exp(-F.least(F.greatest(z, F.lit(-20.0)), F.lit(30.0))))
-    surprise = F.when(F.col("top") > 0, F.least(-F.log(F.greatest(tail, F.lit(1e-13))), F.lit(20.0))).otherwise(0.0) / 5
-    score = 1 / (1 + F.exp(-(F.lit(weights[0]) + weights[1] * surprise + weights[2] * F.log1p("total"))))
-    held = F.coalesce(fold == 2, F.lit(True))
-    out = raw.select("doc_id", held.alias("held_out"), score.alias("score"), "n_words", "spans")
-    return out.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_words", "spans")
+    got = docs.mapInArrow(run, f"doc_id long, score double, n_words long, spans array<{_SPAN}>")
+    return got.select("doc_id", F.coalesce(_fold() == 2, F.lit(True)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_words", "spans")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
+    """docs, all columns, without the rows that score_toxicity() rejects; cases as there.
+
+    A row is judged where it stands, by its own text: null doc_ids and repeated ones make no difference, and no
+    text is moved.
+    """
+    model = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, max_train)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score, _ = _scores(texts_of(batch.column(at)), model, False)
+            yield batch.filter(pa.array(score < THRESHOLD))
+
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # names with dots do not pass
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
