@@ -7,7 +7,9 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 
 @functools.cache
@@ -16,14 +18,17 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a folder of our own where none is named, as in local tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The folder named in spark.checkpoint.dir; one of our own where none is named and driver and executors are one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    return named or _own_dir()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: a lost executor then costs no recomputation."""
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), "tallyfold", f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), "tallyfold", spark.sparkContext.applicationId, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tallyfold_path = path
@@ -46,3 +51,32 @@ def release_shuffles(spark: SparkSession) -> None:
 
     gc.collect()
     spark._jvm.System.gc()
+
+
+def _rows_as_read(df: DataFrame) -> bool:
+    """Whether df is one table of files, with rows and columns left out at most."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.children().isEmpty() and plan.nodeName() == "LogicalRelation"
+
+
+def row_key(df: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """df, and two columns (file, row) that tell its rows apart: the hash of a row's file, and its place there.
+
+    Rows keep their key however often they are read, in whatever tasks. A df that is more than a table of files,
+    less some rows and columns, is written to the shared folder first.
+    """
+
+    def key() -> list[Column]:
+        meta = df.metadataColumn("_metadata")
+        return [F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("row")]
+
+    try:
+        if _rows_as_read(df):
+            df.select(*key()).schema  # noqa: B018 (analysis tells whether the format numbers its rows)
+            return df, key()
+    except AnalysisException:
+        pass
+    df = materialize(df, "rows")
+    return df, key()
