@@ -382,7 +382,7 @@ def test_fingerprint(spark, texts):
 
 
 def test_secrets(spark):
-    from tallyfold.llm.secrets import ALLOWED, CLASSES, redact, report
+    from tallyfold.llm.secrets import CLASSES, PLACEHOLDERS, PLAIN, UUID, redact, report
 
     rng = random.Random(7)
     key = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMN0123456789+/") for _ in range(n))
@@ -402,12 +402,16 @@ def test_secrets(spark):
         base += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
         base += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
         spans = list(base)
-        for rank, (kind, pattern, w, least) in enumerate(CLASSES, 3):
+        for rank, (kind, pattern, _, w, least) in enumerate(CLASSES, 3):
             for m in re.finditer(pattern, t):
-                if any(re.search(p, m[0]) for p in ALLOWED) or any(b[0] <= m.start() and m.end() <= b[2] for b in base):
+                if re.search(UUID, m[0]) or any(b[0] <= m.start() and m.end() <= b[2] for b in base):
                     continue
-                if hot := [k for k in range(len(m[0]) - w + 1) if entropy(m[0][k : k + w]) >= least - 1e-9]:
-                    spans.append((m.start() + hot[0], rank, m.start() + hot[-1] + w, kind))
+                x = m[0]
+                for word, cased in PLACEHOLDERS:
+                    x = re.sub(word, " " * len(word), x, flags=0 if cased else re.I)
+                if hot := [k for k in range(len(x) - w + 1) if " " not in x[k : k + w] and entropy(x[k : k + w]) >= least - 1e-9]:
+                    if not any(re.search(p, m[0][hot[0] : hot[-1] + w]) for p in PLAIN):
+                        spans.append((m.start() + hot[0], rank, m.start() + hot[-1] + w, kind))
         text = lambda s: ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(s))
         kinds.update(k for *_, k in spans)
         assert rows[i]["spans"] == text(spans) and rows[i]["base_sha256"] == hashlib.sha256(text(base).encode()).hexdigest()
@@ -416,6 +420,26 @@ def test_secrets(spark):
     clean = {r["doc_id"]: r["text"] for r in redact(docs).collect()}
     assert clean[0] == "[REDACTED]' x" and clean[3] == "é [REDACTED] ff" and clean[48] is None and clean[49] == ""
     assert redact(docs).columns == docs.columns and report(empty(spark)).count() == 0
+    shown = {r["doc_id"]: r["spans"] for r in report(docs_of(spark, ["EXAMPLE_KEY=" + key(40), "/" + key(50) + "00000000" + key(50)])).collect()}
+    assert shown[0].endswith(":12:52") and shown[1]  # a placeholder beside a secret doesn't hide it
+
+
+def test_secrets_long(spark):
+    import time
+
+    from tallyfold.llm.secrets import redact, report
+
+    rng = random.Random(8)
+    blob = "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMN0123456789+/") for _ in range(1 << 20))
+    many = " ".join("".join(rng.choice("0123456789abcdef") for _ in range(24)) for _ in range(50_000))
+    docs = docs_of(spark, [blob, "é " + many, "x" * 1_000_000])
+    began = time.time()
+    rows = {r["doc_id"]: r for r in report(docs).collect()}
+    clean = {r["doc_id"]: r["text"] for r in redact(docs).collect()}
+    assert rows[0]["spans"].startswith("entropy_base64:") and int(rows[0]["spans"].split(":")[2]) > len(blob) - 30
+    assert rows[1]["n_hex"] == 50_000 and rows[1]["spans"].startswith("hex:2:26,hex:27:51,") and rows[2]["spans"] == ""
+    assert len(clean[0]) < 100 and clean[1] == "é " + " ".join(["[REDACTED]"] * 50_000) and len(clean[2]) == 1_000_000
+    assert time.time() - began < 120
 
 
 def test_pipeline(spark):
