@@ -142,8 +142,8 @@ class Mix:
         spread = self.located.where("size > 0").select("*", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block"))
         from_ = F.greatest("at", F.col("block") * block)
         start, n = from_ - F.col("at"), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - from_
-        #: One row for each slot and row of docs whose words its block holds.
-        self.pieces = spread.join(drawn, ["sid", "block"]).select("sid", "at", "size", *[c for c in ("file", "row") if key], "shard", "epoch", "slot", start.alias("start"), n.alias("n"))
+        #: One row for each slot and row of docs whose words its block holds. A shard's row makes many: no broadcast.
+        self.pieces = spread.join(drawn.hint("merge"), ["sid", "block"]).select("sid", "at", "size", *[c for c in ("file", "row") if key], "shard", "epoch", "slot", start.alias("start"), n.alias("n"))
 
     def _located(self, sizes: DataFrame) -> DataFrame:
         """sizes with sid, target and more of the source, and `at`: the place of the first word in its source.
@@ -196,7 +196,7 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     # The words are bound by a lambda, so that they are split once a row; a shard that takes them all needs none.
     part = "array_join(flatten(transform(t.pieces, p -> slice(ws, cast(p.start + 1 as int), cast(p.n as int)))), '')"
     whole = "aggregate(t.pieces, 0L, (a, p) -> a + p.n) = __mixing_size"
-    words = r"if(forall(__mixing_takes, t -> " + whole + r"), array(), regexp_extract_all(text, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*', 0))"
+    words = r"if(forall(__mixing_takes, t -> " + whole + r"), array(), regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*', 0))"
     taken = F.expr(f"transform(array({words}), ws -> transform(__mixing_takes, t -> struct(t.shard as shard, t.slot as slot, if({whole}, text, {part}) as text)))[0]")
     out = full.withColumn("__mixing_taken", F.explode(taken))
     t = F.col("__mixing_taken.text")
