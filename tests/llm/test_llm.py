@@ -256,13 +256,10 @@ def test_bpe(spark, texts):
     assert encode(empty(spark), path).count() == 0
 
 
-@pytest.mark.parametrize("crowd", [1000, 0])
-def test_suffix(spark, texts, crowd):
-    from tallyfold.llm.suffix import dedupe_substrings, suffix_array
-
-    rows = {r["doc_id"]: r for r in dedupe_substrings(docs_of(spark, texts), shard=5000, crowd=crowd).collect()}
-    seen = set()
-    for i, t in enumerate(texts):
+def deduped(texts):
+    """n_bytes, n_removed, n_spans, kept_sha256 of each text, by the definition."""
+    seen, out = set(), []
+    for t in texts:
         b = (t or "").encode()
         gone = bytearray(len(b))
         for p in range(len(b) - 99):
@@ -270,14 +267,54 @@ def test_suffix(spark, texts, crowd):
                 gone[p : p + 100] = b"\1" * 100
             seen.add(b[p : p + 100])
         spans = sum(1 for p in range(len(b)) if gone[p] and not (p and gone[p - 1]))
-        kept = hashlib.sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest()
-        assert tuple(rows[i][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) == (len(b), sum(gone), spans, kept)
+        out.append((len(b), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest()))
+    return out
+
+
+_COLUMNS = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@pytest.mark.parametrize("shard", [1 << 22, 3000, 300])
+def test_suffix(spark, texts, shard):
+    from tallyfold.llm.suffix import dedupe_substrings
+
+    rng = random.Random(9)
+    made = [*texts, "x" * 400, "ab" * 200, "x" * 150]
+    for _ in range(40):  # one passage in many contexts: an anchor of many heads
+        made.append("".join(rng.choice("abcdef ") for _ in range(80)) + texts[1][:130] + "".join(rng.choice("abcdef ") for _ in range(80)))
+    rows = {r["doc_id"]: r for r in dedupe_substrings(docs_of(spark, made), shard=shard).collect()}
+    assert [tuple(rows[i][c] for c in _COLUMNS) for i in range(len(made))] == deduped(made)
+
+
+def test_suffix_odd_rows(spark, texts):
+    from tallyfold.llm.suffix import dedupe_substrings
+
     assert dedupe_substrings(empty(spark)).count() == 0
-    assert dedupe_substrings(docs_of(spark, ["x" * 150]).union(docs_of(spark, ["x" * 150]))).count() == 1
+    long = "y" * 150
+    docs = docs_of(spark, [texts[56], long, None]).withColumnRenamed("bucket", "a.b")
+    docs = docs.union(docs.where("doc_id < 2")).union(docs.where("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = dedupe_substrings(docs).collect()
+    assert len(rows) == docs.count()
+    n = len(texts[56].encode())
+    assert sorted(r["n_removed"] for r in rows if r["doc_id"] == 0) == [0, n]
+    assert sorted(r["n_removed"] for r in rows if r["doc_id"] == 1) == [149, 150] and [r["n_removed"] for r in rows if r["doc_id"] is None] == [150]
+
+
+def test_suffix_array():
+    from tallyfold.llm.suffix import common_prefixes, suffix_array
+
     rng = random.Random(6)
-    for _ in range(300):
-        s = [rng.randint(1, rng.choice([2, 3, 9])) for _ in range(rng.randint(0, 40))] + [0]
-        assert suffix_array(s, 10) == sorted(range(len(s)), key=lambda i: s[i:])
+    for k in range(1500):
+        s = [rng.randint(1, rng.choice([2, 3, 9])) for _ in range(rng.randint(0, 60 if k < 1480 else 3000))] + [0]
+        x = np.array(s, np.int32)
+        sa = suffix_array(x, 10)
+        assert sa.tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+        shared = common_prefixes(x, sa)
+        for a, b in zip(sa[:-1].tolist(), sa[1:].tolist()):
+            n = 0
+            while s[a + n] == s[b + n] and s[a + n] > 1:
+                n += 1
+            assert shared[b] == n
 
 
 def test_mixing(spark, texts):
