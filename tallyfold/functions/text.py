@@ -67,3 +67,22 @@ def header(name: Column) -> Column:
 
 def mentioned_fields(error: Column, fields: list[str]) -> Column:
     return F.array_intersect(F.regexp_extract_all(F.lower(error), F.lit("[a-z_][a-z0-9_]*"), 0), F.array(*map(F.lit, fields)))
+
+
+def as_text(value: Column) -> Column:
+    """A value as the store keeps it."""
+    return value.cast("string")
+
+
+def local_time(moment: Column) -> Column:
+    """An ISO moment as `dd MMM yyyy, HH:mm` in India; without a zone it is UTC, unreadable text passes, null is empty."""
+    zoned = F.when(moment.rlike(r"(Z|[+-]\d\d:?\d\d)$"), moment).when(moment.rlike(r"^\d{4}-\d\d-\d\d$"), F.concat(moment, F.lit("T00:00:00Z"))).otherwise(F.concat(moment, F.lit("Z")))
+    minutes = F.floor(F.unix_seconds(F.try_to_timestamp(zoned)) / 60).cast("int") + 330
+    told = F.date_format(F.timestamp_add("MINUTE", minutes, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")), "dd MMM yyyy, HH:mm")
+    return F.when(moment.rlike(r"^\d{4}-\d\d-\d\d"), F.coalesce(told, moment)).otherwise(F.coalesce(moment, F.lit("")))
+
+
+def pair_label(email: Column, key: Column, first: Column, last: Column) -> Column:
+    """What a record of a pair is called: its e-mail, its key, its name, or `a record`."""
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return F.coalesce(filled(F.lower(email)), filled(key), filled(F.concat_ws(" ", filled(first), filled(last))), F.lit("a record"))

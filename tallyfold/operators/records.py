@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.config import REASONS, SCHEMA, Field, Policy
-from tallyfold.functions.fuzzy import blocking_key, similarity
 from tallyfold.functions.text import clean_email, clean_phone, clean_string
 from tallyfold.functions.values import clean_number, coerce_enum, parse_date
 from tallyfold.operators.graph import connected_components
+from tallyfold.operators.pairs import merge_edges
 
+#: The patterns of a valid e-mail and phone, of a number, of what looks like a date.
 EMAIL, PHONE = r"^[^@\s]+@[^@\s]+\.[^@\s]+$", r"^\+[1-9]\d{7,14}$"
+NUMERIC, DATE_LIKE = r"^[+-]?[\d,]*\.?\d+$", r"^\d{1,4}[-/][A-Za-z0-9]{1,4}[-/]\d{1,4}$"
 
 
 def signature(code: Column, scope_key: Column) -> Column:
@@ -60,14 +62,49 @@ def clean_records(raw: DataFrame, fields: tuple[Field, ...] = SCHEMA, policy: Po
         if f.kind == "date":
             parsed = parse_date(c, policy.date_formats)
             values[f.name] = parsed["value"]
-            doubts.append(doubt(parsed["ambiguous"], "DATE_FORMAT_AMBIGUOUS", f.name))
+            if policy.ask_dates:
+                doubts.append(doubt(parsed["ambiguous"], "DATE_FORMAT_AMBIGUOUS", f.name))
         elif f.kind == "enum":
             near = coerce_enum(c, f.values, policy.enum_distance)
             values[f.name] = near["value"]
             doubts.append(doubt(near["distance"] > policy.enum_distance, "VALUE_LOW_CONFIDENCE", f.name))
         else:
             values[f.name] = {"email": clean_email, "phone": clean_phone, "decimal": lambda x: clean_number(x)["amount"]}.get(f.kind, clean_string)(c)
-    return raw.select(*[values.get(c, F.col(c)).alias(c) for c in raw.columns], F.array_compact(F.array(*doubts)).alias("doubts"))
+    if "annual_ctc" in values and "ctc_currency" in values:  # an amount tells its currency
+        values["ctc_currency"] = F.coalesce(clean_number(F.col("annual_ctc"))["currency"], values["ctc_currency"])
+    noted = F.array_compact(F.array(*doubts)) if doubts else F.array().cast("array<struct<reason_code:string,field:string,raw:string>>")
+    return raw.select(*[values.get(c, F.col(c)).alias(c) for c in raw.columns], noted.alias("doubts"))
+
+
+def field_messages(fields: tuple[Field, ...] = SCHEMA, strict: bool = False) -> Column:
+    """An array of field, message for the fields of field_errors()."""
+    said = {"email": "value is not a valid email", "phone": "value is not an E.164 phone number", "enum": "value is not allowed", "string": "value does not match the pattern"}
+    kinds = F.create_map(*[F.lit(x) for f in fields for x in (f.name, said.get(f.kind, "value is not valid"))])
+    missing = F.create_map(*[x for f in fields for x in (F.lit(f.name), F.col(f.name).isNull())])
+    text = lambda n: F.when(F.try_element_at(missing, n), F.lit("field required")).otherwise(F.try_element_at(kinds, n))
+    return F.transform(field_errors(fields, strict), lambda n: F.struct(n.alias("field"), text(n).alias("message")))
+
+
+def corrected(cleaned: DataFrame, key: str, fields: tuple[Field, ...] = SCHEMA, corrections: DataFrame | None = None) -> DataFrame:
+    """cleaned after one attempt at correction, with `errors` left: these records are VALIDATE_TWICE.
+
+    corrections: key, field, value (text) of a provider; only fields in error are touched, and of several values for
+    one the least counts. None: no provider, and errors stay.
+    """
+    if corrections is None:
+        return cleaned.withColumn("errors", field_errors(fields))
+    named = corrections.groupBy(key, "field").agg(F.min("value").alias("value")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_new"))
+    both = cleaned.withColumn("_bad", field_errors(fields)).join(named, key, "left")
+    types = dict(cleaned.dtypes)
+    new = lambda f: F.when(F.array_contains("_bad", f) & F.map_contains_key("_new", f), F.try_element_at("_new", F.lit(f)).try_cast(types[f])).otherwise(F.col(f))
+    names = {f.name for f in fields}
+    return both.select(*[new(c).alias(c) if c in names else F.col(c) for c in cleaned.columns]).withColumn("errors", field_errors(fields))
+
+
+def twice(corrected_: DataFrame, key: str) -> DataFrame:
+    """The VALIDATE_TWICE questions of corrected(): reason_code, scope_key, entity_id, signature."""
+    code, scope = F.lit("VALIDATE_TWICE"), F.lit("")
+    return corrected_.where(F.size("errors") > 0).select(code.alias("reason_code"), scope.alias("scope_key"), F.col(key).alias("entity_id"), signature(code, scope).alias("signature"))
 
 
 def issues(cleaned: DataFrame, key: str, filename: str) -> DataFrame:
@@ -100,51 +137,58 @@ def source_rank(filename: Column, policy: Policy = Policy()) -> Column:
     return out
 
 
-def candidate_pairs(records: DataFrame, block_size: int = 2_000) -> DataFrame:
-    """Pairs within a block, a_id < b_id, with their similarity. Oversize blocks are dealt out as pairs of chunks.
+def cluster(records: DataFrame, approved: DataFrame | None = None, policy: Policy = Policy()) -> DataFrame:
+    """id, cluster_id: components of equal natural keys (each member to the first), of pairs above the merge score, of approved pairs.
 
-    records: id, employee_id, first_name, last_name, work_email, phone, date_of_birth (text).
+    approved: a_id, b_id of the pairs that an answer or a verdict has joined, whatever their score.
     """
-    person = F.struct("employee_id", "first_name", "last_name", "work_email", "phone", "date_of_birth")
-    blocked = records.select("id", blocking_key(F.col("work_email"), F.col("first_name"), F.col("last_name"), F.col("phone")).alias("block"), person.alias("person"))
-    sizes = blocked.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
-    chunks = F.ceil(F.col("n") / block_size).cast("int")
-    dealt = blocked.join(sizes, "block").select("*", F.pmod(F.hash("id"), chunks).alias("chunk"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
-    dealt = dealt.withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
-    side = lambda p: dealt.select("block", "low", "high", F.col("chunk").alias(f"{p}_chunk"), F.col("id").alias(f"{p}_id"), F.col("person").alias(p))
-    pairs = side("a").join(side("b"), ["block", "low", "high"]).where("a_id < b_id and (low = high or a_chunk <> b_chunk)")
-    return pairs.select("a_id", "b_id", "block", similarity("a", "b").alias("score"))
-
-
-def cluster(records: DataFrame, pairs: DataFrame, approved: DataFrame | None = None, policy: Policy = Policy()) -> DataFrame:
-    """id, cluster_id: components of equal natural keys (each member to the first), of pairs above the merge score, of approved pairs."""
     key = F.col("employee_id")
     first = records.where(F.coalesce(key, F.lit("")) != "").groupBy("employee_id").agg(F.min("id").alias("src"))
     star = records.join(first, "employee_id").where("id <> src").select("src", F.col("id").alias("dst"))
-    edges = star.unionByName(pairs.where(F.col("score") >= policy.merge_above).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst")))
+    edges = star.unionByName(merge_edges(records, policy.merge_above))
     if approved is not None:
         edges = edges.unionByName(approved.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst")))
     found = connected_components(edges)
     return records.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("cluster_id"))
 
 
-def survivorship(rows: DataFrame, fields: list[str], policy: Policy = Policy(), material: tuple[str, ...] = ()) -> DataFrame:
+def survivorship(rows: DataFrame, fields: list[str], policy: Policy = Policy(), material: tuple[str, ...] = (), trusted: DataFrame | None = None, amount: tuple[str, str] | None = None) -> DataFrame:
     """cluster_id, field, value, source, sources, conflict, asks: the value that survives of each field of each cluster.
 
     rows: cluster_id, id, filename, fields as text. Of each file the first value by id counts; of files the one that
     comes first in precedence. Distinct values of a field across files conflict; material ones ask.
+    trusted: signature, filename of answers to such a conflict; the named file's value then wins, does not ask, and
+    is told by `by_answer`. amount: the names of an amount and its currency; amounts whose files name several
+    currencies cannot be compared and do not ask.
     """
-    long = rows.select("cluster_id", "id", "filename", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])).alias("x"))
+    long = rows.select("cluster_id", "id", "filename", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("x"))
     long = long.select("cluster_id", "id", "filename", "x.field", "x.value").where("value is not null and value <> ''")
     by_file = long.groupBy("cluster_id", "field", "filename").agg(F.min_by("value", "id").alias("value"), F.min("id").alias("id"))
     order = F.struct(source_rank(F.col("filename"), policy), "id")
+    more = [F.map_from_entries(F.collect_list(F.struct("filename", "value"))).alias("_by")] if trusted is not None else []
     out = by_file.groupBy("cluster_id", "field").agg(
         F.min_by("value", order).alias("value"),
         F.min_by("filename", order).alias("source"),
         F.array_join(F.array_sort(F.collect_set("filename")), "|").alias("sources"),
         (F.count_distinct("value") > 1).alias("conflict"),
+        *more,
     )
-    return out.withColumn("asks", F.col("conflict") & F.col("field").isin(*material) if material else F.lit(False))
+    out = out.withColumn("asks", F.col("conflict") & F.col("field").isin(*material) if material else F.lit(False))
+    if amount is not None:
+        name, currency = amount
+        money = by_file.where(F.col("field") == currency).select("cluster_id", "filename", F.col("value").alias("currency"))
+        mixed = by_file.where(F.col("field") == name).join(money, ["cluster_id", "filename"]).groupBy("cluster_id").agg((F.count_distinct("currency") > 1).alias("_mixed"))
+        out = out.join(mixed, "cluster_id", "left").withColumn("asks", F.col("asks") & ~(F.coalesce("_mixed", F.lit(False)) & (F.col("field") == name))).drop("_mixed")
+    if trusted is not None:
+        sig = signature(F.lit("CONFLICT_ACROSS_SOURCES"), F.concat_ws(":", "field", "sources"))
+        said = trusted.select("signature", F.col("filename").alias("_winner"))
+        out = out.withColumn("signature", sig).join(said, "signature", "left")
+        wins = F.coalesce(F.col("conflict") & F.map_contains_key("_by", F.coalesce("_winner", F.lit(""))), F.lit(False))
+        out = out.select(
+            "cluster_id", "field", F.when(wins, F.try_element_at("_by", F.col("_winner"))).otherwise(F.col("value")).alias("value"), F.when(wins, F.col("_winner")).otherwise(F.col("source")).alias("source"),
+            "sources", "conflict", (F.col("asks") & ~wins).alias("asks"), wins.alias("by_answer"),
+        )
+    return out
 
 
 def payload_digest(columns: list[str]) -> Column:
@@ -176,13 +220,30 @@ def profile(df: DataFrame, columns: list[str], samples: int = 20, cap: int = 10_
         F.count("*").alias("n"),
         F.round(1 - F.count(filled) / F.count("*"), 4).alias("null_rate"),
         F.least(F.count_distinct(filled), F.lit(cap + 1)).alias("distinct_count"),
-        F.round(F.avg(F.regexp_replace(filled, " ", "").rlike(r"^[+-]?[\d,]*\.?\d+$").cast("double")), 6).alias("numeric_share"),
-        F.round(F.avg(F.trim(filled).rlike(r"^\d{1,4}[-/][A-Za-z0-9]{1,4}[-/]\d{1,4}$").cast("double")), 6).alias("date_share"),
+        F.round(F.avg(F.regexp_replace(filled, " ", "").rlike(NUMERIC).cast("double")), 6).alias("numeric_share"),
+        F.round(F.avg(F.trim(filled).rlike(DATE_LIKE).cast("double")), 6).alias("date_share"),
     )
     kind = F.when(F.col("date_share").isNull(), "empty").when(F.col("date_share") > 0.6, "date_like").when(F.col("numeric_share") > 0.6, "numeric").otherwise("text")
     return out.withColumn("inferred_type", kind)
 
 
+def samples(df: DataFrame, columns: list[str], order: str, most: int = 20, votes: int = 200) -> DataFrame:
+    """name, samples, inferred_type: the first distinct filled values of each column in row order, and a vote of the first filled ones.
+
+    Both windows keep a bounded number of rows of a task before rows move.
+    """
+    long = df.select(F.col(order).alias("_ord"), F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x")).select("_ord", "x.*")
+    filled = long.where("value <> ''")
+    nth = lambda by: F.row_number().over(Window.partitionBy("name").orderBy(by, "value"))
+    first = filled.groupBy("name", "value").agg(F.min("_ord").alias("_ord")).withColumn("nth", nth("_ord")).where(F.col("nth") <= most)
+    shown = first.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "value"))), lambda x: x["value"]).alias("samples"))
+    share = lambda hit: F.avg(hit.cast("double"))
+    vote = filled.withColumn("nth", nth("_ord")).where(F.col("nth") <= votes).groupBy("name").agg(share(F.trim("value").rlike(DATE_LIKE)).alias("d"), share(F.regexp_replace("value", " ", "").rlike(NUMERIC)).alias("n"))
+    kind = F.when(F.col("d").isNull(), "empty").when(F.col("d") > 0.6, "date_like").when(F.col("n") > 0.6, "numeric").otherwise("text")
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "name string")
+    return names.join(shown, "name", "left").join(vote, "name", "left").select("name", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"), kind.alias("inferred_type"))
+
+
 def decide_mapping(scores: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """scores: header, field, field_ord, score, null_rate. header, target, confidence, runner_up, decision of each header."""
     w = Window.partitionBy("header").orderBy(F.desc("score"), "field_ord")
@@ -196,3 +257,13 @@ def decide_mapping(scores: DataFrame, policy: Policy = Policy()) -> DataFrame:
     unsure = (F.col("confidence") < policy.accept_mapping) | (F.col("confidence") - F.coalesce("runner_up", F.lit(0.0)) < policy.mapping_margin)
     decision = F.when(low & (F.col("null_rate") >= 0.99), "accept").when(low, "MAP_UNMAPPED").when(unsure, "MAP_AMBIGUOUS").otherwise("accept")
     return top.select("header", "target", "confidence", "runner_up", decision.alias("decision"))
+
+
+def alternatives(scores: DataFrame, most: int = 3) -> DataFrame:
+    """header, target, confidence, alternatives (field, confidence; the next `most`) of each header; ties in schema order."""
+    w = Window.partitionBy("header").orderBy(F.desc("score"), "field_ord")
+    top = scores.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most + 1)
+    rest = F.array_sort(F.collect_list(F.when(F.col("nth") > 1, F.struct("nth", "field", F.round("score", 4).alias("confidence")))))
+    first = lambda c: F.max(F.when(F.col("nth") == 1, c))
+    out = top.groupBy("header").agg(first(F.col("field")).alias("target"), F.round(first(F.col("score")), 4).alias("confidence"), rest.alias("_rest"))
+    return out.select("header", "target", "confidence", F.transform("_rest", lambda x: F.struct(x["field"].alias("field"), x["confidence"].alias("confidence"))).alias("alternatives"))

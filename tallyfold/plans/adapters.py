@@ -52,7 +52,7 @@ select cast(k as bigint) * 3 + 2, 'crm_contacts_export.xlsx', '', trim(first_nam
 
 ATTEMPTS = """
 select user_id as record_id, cast(row_number() over (partition by user_id order by event_id) as int) as attempt_number,
-  case when event_type = 'error' and event_id % 3 = 0 then 422 when event_type = 'error' then 500 else 200 end as status_code from events where event_id % 5 < 3"""
+  case when event_type = 'error' and event_id % 3 = 0 then 422 when event_type = 'error' then 500 else 200 end as status_code from events"""
 
 ESCALATIONS = """
 select o_orderkey as id, case o_orderstatus when 'F' then 'VALUE_LOW_CONFIDENCE' when 'O' then 'DATE_FORMAT_AMBIGUOUS' else 'LOGIC_CONTRADICTION' end as reason_code,

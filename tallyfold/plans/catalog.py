@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.config import SCHEMA, STATUSES
 from tallyfold.functions import fuzzy, text, values
+from tallyfold.operators import pairs as P
 from tallyfold.operators import records as R
 from tallyfold.plans import adapters as A
 
@@ -196,9 +197,9 @@ def block_keys(spark, sf_dir):
     return _records(spark, sf_dir).select("id", fuzzy.blocking_key(F.col("work_email"), F.col("first_name"), F.col("last_name"), F.col("phone")).alias("block"))
 
 
-@_query(_PAIRS.replace(" where id < 600", "").join(("with ", " select a_id, b_id, block, score from pairs")))
+@_query(_PAIRS.replace(" where id < 600", "").join(("with ", " select a_id, b_id, block, score from pairs where score > 0")))
 def scored_pairs(spark, sf_dir):
-    return R.candidate_pairs(_records(spark, sf_dir))
+    return P.candidate_pairs(_records(spark, sf_dir))
 
 
 @_query(_PAIRS.replace(" where id < 600", "").join(("with ", " select a_id, b_id, score, sha256('DUPE_AMBIGUOUS:' || least(cast(a_id as varchar), cast(b_id as varchar)) || '|' || greatest(cast(a_id as varchar), cast(b_id as varchar))) as signature from pairs where score >= 0.72 and score < 0.9")))
@@ -214,8 +215,7 @@ _CLUSTERS = f"{_RECORDS}, keyed as (select *, coalesce(nullif(employee_id, ''),
 
 @_query(f"with {_CLUSTERS} select id, cluster_id from clusters")
 def components(spark, sf_dir):
-    rows = _records(spark, sf_dir)
-    return R.cluster(rows, R.candidate_pairs(rows))
+    return R.cluster(_records(spark, sf_dir))
 
 
 @_query(f"with {_CLUSTERS}, ranked as (select *, case when filename like 'legacy_hris%' then 0 when filename like 'payroll%' then 1 else 2 end as rank from clusters) select id, first_value(id) over (partition by cluster_id order by rank, id) as survivor_id, case when count(*) over (partition by cluster_id) = 1 then 'clean' when id = first_value(id) over (partition by cluster_id order by rank, id) then 'merged_survivor' else 'merged' end as status from ranked")

@@ -68,7 +68,7 @@ def delivery_decisions(spark, sf_dir):
 _VERDICT, _SURE = "case a_id % 3 when 0 then 'different' when 1 then 'unsure' end", "cast(b_id % 10 as double) / 10"
 
 
-@_query(f"with {_ALL_PAIRS} select a_id, b_id, case when score >= 0.9 then 'merge' when score < 0.72 then 'separate' when a_id % 3 = 0 and cast(b_id % 10 as double) / 10 >= 0.75 then 'separate' else 'ask' end as decision from pairs")
+@_query(f"with {_ALL_PAIRS} select a_id, b_id, case when score >= 0.9 then 'merge' when score < 0.72 then 'separate' when a_id % 3 = 0 and cast(b_id % 10 as double) / 10 >= 0.75 then 'separate' else 'ask' end as decision from pairs where score > 0")
 def pair_decisions(spark, sf_dir):
     return scored_pairs(spark, sf_dir).select("a_id", "b_id", V.pair_decision(F.col("score"), F.expr(_VERDICT), F.expr(_SURE)).alias("decision"))
 
@@ -125,9 +125,9 @@ def browse_page(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/customer.parquet").orderBy(F.desc("c_acctbal"), "c_custkey").offset(100).limit(50).select("c_custkey", "c_name")
 
 
-@_query(f"with {_HRIS} select last_name, count(*) as members from hris where k % 7 = 0 group by last_name having count(*) >= 2")
+@_query(f"with {_HRIS} select last_name, count(*) as members from hris group by last_name having count(*) >= 2")
 def surname_pools(spark, sf_dir):
-    return A.hris_records(spark, sf_dir).where("k % 7 = 0").groupBy("last_name").agg(F.count("*").alias("members")).where("members >= 2")
+    return A.hris_records(spark, sf_dir).groupBy("last_name").agg(F.count("*").alias("members")).where("members >= 2")
 
 
 @_query(f"with {_RECORDS} select id, coalesce(nullif(employee_id, ''), nullif(lower(trim(work_email)), ''), cast(id as varchar)) as identity, coalesce(nullif(trim(concat_ws(' ', nullif(first_name, ''), nullif(last_name, ''))), ''), 'nothing') as shown from records")
