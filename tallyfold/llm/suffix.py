@@ -24,7 +24,7 @@ from tallyfold.plans.materialize import discard, materialize, release_shuffles,
 
 LENGTH, GRAM = 100, 32
 #: Symbols of a shard; fragments that a task combines, and fragments of a bucket.
-SHARD, HELD, BUCKET = 1 << 22, 1 << 20, 1 << 18
+SHARD, HELD, BUCKET = 1 << 21, 1 << 20, 1 << 18
 #: Starts in a step, by which the heads of an anchor are dealt out that would overflow a shard.
 STEP = 16
 
@@ -130,7 +130,7 @@ def _fragments(length: int, gram: int, buckets: int, homes: int):
         held, size = [], 0
         for batch in batches:
             docs = batch.column(0).to_numpy()
-            for base, texts in chunked(texts_of(batch.column(1)), 1 << 22):
+            for base, texts in chunked(texts_of(batch.column(1)), 1 << 21):
                 frags = fragments_of(texts, length, gram)
                 frags["doc"] = docs[base + frags["doc"]]
                 held.append(frags)
