@@ -1,7 +1,8 @@
 """Token counts under a unigram model, by dynamic programming over a trie of distinct pre-tokens.
 
-The best score of a prefix does not depend on what follows it. The distinct pre-tokens of a batch are walked in the
-order of a depth-first walk of their trie, and forward scores are computed once for each prefix that they share.
+The best score of a prefix does not depend on what follows it. Distinct pre-tokens are inserted in a trie, forward
+scores are computed once for each prefix that they share, and terminals store the counts. The vocabulary and its
+ranks are a public tokenizer's, and tokenizers are never trained: its scores are those of Zipf's law over the ranks.
 """
 
 from __future__ import annotations
@@ -19,11 +20,18 @@ from pyspark.sql import functions as F
 from tallyfold.llm.bpe import CACHE_WORDS, PATTERN
 from tallyfold.llm.common import record_batch
 
+#: Nodes of a task's trie, about 100 bytes each.
+NODES = 1 << 19
+
 _COUNTS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64()), ("log_prob", pa.float64())])
 
 
 class UnigramTrie:
-    """A vocabulary of byte strings by rank, with Zipf's probabilities: that of a rank is as 1 / (rank + 1)."""
+    """A vocabulary of byte strings by rank, with Zipf's probabilities: that of a rank is as 1 / (rank + 1).
+
+    The trie holds the pre-tokens seen: each node the forward score of its prefix and that segmentation's tokens, each
+    terminal the counts of its pre-token. A node is computed once, whatever pre-tokens pass through it.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         total = math.log(math.fsum(1 / (r + 1) for r in ranks.values()))
@@ -32,29 +40,46 @@ class UnigramTrie:
         self.cut = regex.compile(PATTERN)
         self.loose = regex.compile(r" (?:\s|\Z)")
         self.cache: dict[str, tuple[int, int, float]] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.edges: dict[int, int] = {}  # node * 256 + byte: node
+        self.forward: list[tuple[float, int]] = [(0.0, 0)]  # by node: score, less the tokens
+        self.terminals: dict[bytes, tuple[int, float]] = {}
+
+    def insert(self, word: bytes) -> tuple[int, float]:
+        """The word's tokens and score in its best segmentation; of equal scores, that of fewest tokens."""
+        if word in self.terminals:
+            return self.terminals[word]
+        edges, forward, score, node = self.edges, self.forward, self.score, 0
+        path = [forward[0]]
+        for byte in word:
+            after = edges.get(node << 8 | byte)
+            if after is None:
+                break
+            node = after
+            path.append(forward[node])
+        for end in range(len(path), len(word) + 1):
+            top = (-math.inf, 0)
+            for start in range(max(0, end - self.longest), end):
+                s = score.get(word[start:end])
+                if s is not None:
+                    got = path[start]
+                    here = (got[0] + s, got[1] - 1)
+                    if here > top:
+                        top = here
+            path.append(top)
+            edges[node << 8 | word[end - 1]] = node = len(forward)
+            forward.append(top)
+        self.terminals[word] = (-path[-1][1], path[-1][0])
+        return self.terminals[word]
 
     def walk(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, int, float]]:
-        """Each distinct word's tokens and score in its best segmentation; of equal scores, that of fewest tokens."""
-        score, longest = self.score, self.longest
-        best: list[tuple[float, int]] = [(0.0, 0)]  # along the path from the trie's root: score, less the tokens
-        before = b""
-        for word in sorted(set(words)):
-            shared, most = 0, min(len(word), len(before))
-            while shared < most and word[shared] == before[shared]:
-                shared += 1
-            del best[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                top = (-math.inf, 0)
-                for start in range(max(0, end - longest), end):
-                    s = score.get(word[start:end])
-                    if s is not None:
-                        got = best[start]
-                        here = (got[0] + s, got[1] - 1)
-                        if here > top:
-                            top = here
-                best.append(top)
-            before = word
-            yield word, -best[-1][1], best[-1][0]
+        """Each word's tokens and score. The trie is shared by all calls of a task, and begun anew when it is large."""
+        for word in words:
+            if len(self.forward) > NODES:
+                self._clear()
+            yield word, *self.insert(word)
 
     def _learn(self, units: set[str]) -> None:
         words = {u: [w.encode() for w in self.cut.findall(u)] for u in units}
