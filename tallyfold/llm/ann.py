@@ -22,6 +22,8 @@ SHARD, LINKS, LINKS0, CANDIDATES = 16_384, 16, 32, 48
 #: Nodes a search keeps, nodes it expands at a time, queries in a block.
 BEAM, EXPAND, QUERIES = 160, 4, 512
 
+_BLOCK = pa.schema([("size", pa.int32()), ("query_ids", pa.binary()), ("data", pa.binary())])
+_NODE = pa.schema([("shard", pa.int32()), ("ids", pa.list_(pa.int64())), ("data", pa.binary())])
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -160,77 +162,103 @@ class Graph:
         return found
 
 
-def _best(graph: Graph, ids: list[np.ndarray], queries: np.ndarray, query_ids: np.ndarray, k: int, beam: int) -> Iterator[pa.RecordBatch]:
+def _best(graph: Graph, ids: list[np.ndarray], queries: np.ndarray, query_ids: np.ndarray, k: int, beam: int) -> Iterator[tuple[int, int, float]]:
     found = graph.search(queries, beam)[:, : k + 1]
     hit = found >= 0
     score = np.where(hit, np.einsum("bnd,bd->bn", graph.exact[found], queries), -np.inf)
-    rows = []
     for i, (nodes, values) in enumerate(zip(found, score, strict=True)):
         own = [(-v, int(j)) for n, v in zip(nodes.tolist(), values.tolist(), strict=True) if n >= 0 for j in ids[n] if j != query_ids[i]]
-        rows += [(int(query_ids[i]), j, -v) for v, j in sorted(own)[:k]]
-    if rows:
-        yield record_batch(_FOUND, *map(list, zip(*rows, strict=True)))
+        yield from ((int(query_ids[i]), j, -v) for v, j in sorted(own)[:k])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Queries of one length, packed: every shard gets blocks of them, not rows."""
+    for batch in batches:
+        sizes = batch.column(1).to_numpy()
+        ids, values = batch.column(0).to_numpy(), batch.column(2).to_pylist()
+        rows = []
+        for size in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == size)
+            for a in range(0, len(at), QUERIES):
+                own = at[a : a + QUERIES]
+                rows.append((size, ids[own].astype("<i8").tobytes(), np.array([values[i] for i in own], "<f8").tobytes()))
+        if rows:
+            yield record_batch(_BLOCK, *map(list, zip(*rows, strict=True)))
 
 
 def _shards(k: int, beam: int):
-    """Rows come in the order of shards, each shard's nodes (query_id null) before its queries."""
+    """Rows come in the order of shards, each shard's nodes (ids a list, one vector) before its blocks of queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, graph, nodes, ids = None, None, [], []
         for batch in batches:
-            shards = batch.column(0).to_numpy()
-            query = batch.column(1)
-            is_query = np.array(query.is_valid())
-            vectors = np.array(batch.column(3).flatten()).reshape(batch.num_rows, -1) if batch.num_rows else np.empty((0, 0))
-            at = 0
-            while at < batch.num_rows:
-                end = at + int(np.argmax(np.append((shards[at:] != shards[at]) | (is_query[at:] != is_query[at]), True)))
-                if shards[at] != shard:
-                    shard, graph, nodes, ids = shards[at], None, [], []
-                if not is_query[at]:
-                    nodes.append(vectors[at:end])
-                    ids += [np.array(x) for x in batch.column(2).slice(at, end - at).to_pylist()]
+            for at, is_query, own, query_ids, data in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                if at != shard:
+                    shard, graph, nodes, ids = at, None, [], []
+                if not is_query:
+                    nodes.append(np.frombuffer(data, "<f8"))
+                    ids.append(np.array(own))
                 elif nodes:
-                    graph = graph or Graph(np.concatenate(nodes))
-                    for a in range(at, end, QUERIES):
-                        z = min(end, a + QUERIES)
-                        yield from _best(graph, ids, vectors[a:z], query.slice(a, z - a).to_numpy(zero_copy_only=False).astype(np.int64), k, beam)
-                at = end
+                    graph = graph or Graph(np.stack(nodes))
+                    asked = np.frombuffer(query_ids, "<i8")
+                    rows = list(_best(graph, ids, np.frombuffer(data, "<f8").reshape(len(asked), -1), asked, k, beam))
+                    if rows:
+                        yield record_batch(_FOUND, *map(list, zip(*rows, strict=True)))
 
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes with their vectors as bytes."""
+    for batch in batches:
+        yield record_batch(_NODE, batch.column(0), batch.column(1), [np.array(v, "<f8").tobytes() for v in batch.column(2).to_pylist()])
+
+
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, shard: int = SHARD, beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: the k vectors of largest inner product found for each query, nearest first.
 
     vectors: vec_id, embedding. Queries are the rows whose vec_id is divisible by `every`; a row is no candidate for
     itself. Scores are in double precision on the vectors as given; ties go to the smaller vec_id; a query with
     fewer candidates than k gets all that are found. Null and zero vectors, those with null or non-finite
-    components, those whose length is not the smallest vec_id's, and null vec_ids take no part; a repeated vec_id
-    counts once, with the least of its vectors. Equal vectors are one node, with the k + 1 smallest of their ids,
-    which are all that can be returned. An empty table gives no rows; extra columns are ignored.
+    components, and null vec_ids take no part. Vectors of unequal lengths have no inner product: each length is
+    searched by itself. A vec_id that is repeated is a candidate with each of its vectors, of which the nearest
+    counts; as a query it asks with the least. Equal vectors are one node, with the k + 1 smallest of their ids, which
+    are all that can be returned. An empty table gives no rows; extra columns are ignored.
+
+    A shard's graph is built at once, layer by layer, from the nearest of all its vectors by blocked products, not
+    vector by vector through searches: that is exact where insertion is approximate, and bounded by the shard.
     """
     whole = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(
         "vec_id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"
     )
-    size = whole.agg(F.min_by(F.size("v"), "vec_id")).first()[0] or 1
-    one = Window.partitionBy("vec_id").orderBy("v")
-    rows = whole.where(F.size("v") == size).withColumn("nth", F.row_number().over(one)).where("nth = 1").drop("nth")
-    rows = materialize(rows.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64("v", F.lit(1))}), "vectors")
-    same = Window.partitionBy("h1", "h2").orderBy("vec_id")
-    kept = rows.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1)
-    nodes = kept.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.min_by("v", "vec_id").alias("v"))
-    shards = max(1, -(-rows.agg(F.count_distinct("h1", "h2")).first()[0] // shard))
-    sharded = nodes.select(F.pmod(F.xxhash64("h1"), F.lit(shards)).cast("int").alias("shard"), F.lit(None).cast("long").alias("query_id"), "ids", "v")
-    # A stated query set, every `every`th row, against all shards.
-    asked = rows.where(F.col("vec_id") % every == 0).select(
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.col("vec_id").alias("query_id"), F.lit(None).cast("array<long>").alias("ids"), "v"
-    )
+    rows = materialize(whole.withColumns({"size": F.size("v"), "h1": F.xxhash64("v"), "h2": F.xxhash64("v", F.lit(1))}), "vectors")
+    # One row a vector, of as many bytes as a node's ids need: the k + 1 smallest, kept by rank within the equal ones.
+    ids = rows.select("size", "h1", "h2", "vec_id").distinct()
+    kept = ids.withColumn("nth", F.row_number().over(Window.partitionBy("size", "h1", "h2").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
+    lists = kept.groupBy("size", "h1", "h2").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    firsts = rows.groupBy("size", "h1", "h2").agg(F.min("v").alias("v"))
+    nodes = materialize(firsts.join(lists, ["size", "h1", "h2"]).select("size", "h1", "ids", "v"), "nodes")
+    spread, total = [], 0
+    for row in nodes.groupBy("size").agg(F.count("*").alias("n")).orderBy("size").collect():  # one row a length
+        n = -(-row["n"] // shard)
+        spread.append((row["size"], total, n))
+        total += n
+    lengths = F.broadcast(vectors.sparkSession.createDataFrame(spread, "size int, first int, shards int"))
+    place = (F.col("first") + F.pmod(F.col("h1"), F.col("shards"))).cast("int")
+    none = F.lit(None).cast("binary")
+    sharded = nodes.join(lengths, "size").select(place.alias("shard"), "ids", "v").mapInArrow(_packed, "shard int, ids array<long>, data binary")
+    sharded = sharded.select("shard", F.lit(False).alias("is_query"), "ids", none.alias("query_ids"), "data")
+    # A stated query set, every `every`th row, against all shards of its length, in blocks.
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min_by(F.struct("size", "v"), F.struct("v")).alias("x")).select("vec_id", "x.size", "x.v")
+    asked = asked.mapInArrow(_blocks, "size int, query_ids binary, data binary").join(lengths, "size")
+    asked = asked.withColumn("shard", F.explode(F.sequence("first", F.col("first") + F.col("shards") - 1)))
+    asked = asked.select("shard", F.lit(True).alias("is_query"), F.lit(None).cast("array<long>").alias("ids"), "query_ids", "data")
     found = (
         sharded.unionByName(asked)
-        .repartition(shards, "shard")
-        .sortWithinPartitions("shard", F.col("query_id").asc_nulls_first())
+        .repartitionById(max(1, total), F.col("shard"))  # a shard is a task: numbers, not hashes, which would collide
+        .sortWithinPartitions("shard", "is_query")
         .mapInArrow(_shards(k, beam), "query_id long, vec_id long, score double")
     )
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

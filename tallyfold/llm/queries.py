@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tallyfold.llm.common import table
+from tallyfold.llm.oracles import ORACLES  # noqa: F401 (the entry module reads it)
 
 
 def op1_passages(spark, sf_dir):
@@ -44,7 +45,7 @@ def op5_bpe(spark, sf_dir):
 def op6_suffix(spark, sf_dir):
     from tallyfold.llm.suffix import dedupe_substrings
 
-    return dedupe_substrings(table(spark, sf_dir, "documents"))
+    return dedupe_substrings(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op7_mixing(spark, sf_dir):
@@ -74,4 +75,3 @@ def op10_secrets(spark, sf_dir):
 
 
 QUERIES = {"op1_passages": op1_passages, "op2_hnsw": op2_hnsw, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op6_suffix": op6_suffix, "op7_mixing": op7_mixing, "op8_token_counts": op8_token_counts, "op9_fingerprint": op9_fingerprint, "op10_secrets": op10_secrets}
-ORACLES: dict[str, str] = {}

@@ -114,6 +114,31 @@ def test_nearest(spark):
     assert nearest(df.where("vec_id < 2")).count() == 1
 
 
+def test_nearest_odd_rows(spark):
+    """Lengths are searched apart, ties go to the smaller id in order, repeated ids are candidates with each vector."""
+    from tallyfold.llm.ann import nearest
+
+    rng = np.random.default_rng(1)
+    v = {i: rng.integers(-2, 3, size=4).astype(float) + 0.5 for i in range(1, 121)}  # few kinds: many ties
+    v[0] = np.array([1.0, 2.0])
+    v |= {200 + i: rng.normal(size=2) for i in range(30)}
+    rows = [(i, x.tolist(), 1) for i, x in v.items()] + [(7, (v[7] * 10).tolist(), 1), (None, [1.0] * 4, 1), (5, [], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, `a.b` int").withColumn("shard", F.lit("x"))
+    got = {}
+    for r in nearest(df, k=10, shard=40).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], round(r["score"], 9))
+    assert set(got) == {i for i in v if i % 20 == 0}
+    many = [(i, x) for i, x, _ in rows if i is not None and x]
+    for q, found in got.items():
+        best = {}
+        for j, x in many:
+            if j != q and len(x) == len(v[q]):
+                best[j] = max(best.get(j, -1e9), float(v[q] @ np.array(x)))
+        want = sorted((-s, j) for j, s in best.items())[:10]
+        assert [found[k + 1][0] for k in range(len(found))] == [j for _, j in want], q
+        assert all(abs(found[k + 1][1] + s) < 1e-6 for k, (s, _) in enumerate(want))
+
+
 def test_toxicity(spark, texts):
     from tallyfold.llm.toxicity import score_toxicity, segments
 
