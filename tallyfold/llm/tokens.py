@@ -44,48 +44,64 @@ class UnigramTrie:
 
     def _clear(self) -> None:
         self.edges: dict[int, int] = {}  # node * 256 + byte: node
-        self.forward: list[tuple[float, int]] = [(0.0, 0)]  # by node: score, less the tokens
+        self.forward, self.fewest = [0.0], [0]  # by node: the forward score, and its segmentation's tokens
         self.terminals: dict[bytes, tuple[int, float]] = {}
 
-    def insert(self, word: bytes) -> tuple[int, float]:
-        """The word's tokens and score in its best segmentation; of equal scores, that of fewest tokens."""
-        if word in self.terminals:
-            return self.terminals[word]
-        edges, forward, score, node = self.edges, self.forward, self.score, 0
-        path = [forward[0]]
-        for byte in word:
-            after = edges.get(node << 8 | byte)
-            if after is None:
-                break
-            node = after
-            path.append(forward[node])
-        for end in range(len(path), len(word) + 1):
-            top = (-math.inf, 0)
-            for start in range(max(0, end - self.longest), end):
-                s = score.get(word[start:end])
-                if s is not None:
-                    got = path[start]
-                    here = (got[0] + s, got[1] - 1)
-                    if here > top:
-                        top = here
-            path.append(top)
-            edges[node << 8 | word[end - 1]] = node = len(forward)
-            forward.append(top)
-        self.terminals[word] = (-path[-1][1], path[-1][0])
-        return self.terminals[word]
-
     def walk(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, int, float]]:
-        """Each word's tokens and score. The trie is shared by all calls of a task, and begun anew when it is large."""
-        for word in words:
-            if len(self.forward) > NODES:
-                self._clear()
-            yield word, *self.insert(word)
+        """Each distinct word's tokens and score in its best segmentation; of equal scores, that of fewest tokens.
+
+        Words are inserted in order, so that what a word shares with the one before it is at hand. The trie is shared
+        by all calls of a task, and begun anew when it is large.
+        """
+        if len(self.forward) > NODES:
+            self._clear()
+        edges, forward, fewest, terminals, score, longest = self.edges, self.forward, self.fewest, self.terminals, self.score, self.longest
+        nodes, path, tokens, before = [0], [0.0], [0], b""
+        for word in sorted(set(words)):
+            known = terminals.get(word)
+            if known is None:
+                size = len(word)
+                at, most = 0, min(size, len(before))
+                while at < most and word[at] == before[at]:
+                    at += 1
+                del nodes[at + 1 :], path[at + 1 :], tokens[at + 1 :]
+                before, node = word, nodes[at]
+                while at < size:
+                    after = edges.get(node << 8 | word[at])
+                    if after is None:
+                        break
+                    node = after
+                    nodes.append(node)
+                    path.append(forward[node])
+                    tokens.append(fewest[node])
+                    at += 1
+                for end in range(at + 1, size + 1):
+                    top, few = -math.inf, 0
+                    for start in range(end - longest if end > longest else 0, end):
+                        s = score.get(word[start:end])
+                        if s is not None:
+                            s += path[start]
+                            if s >= top and (s > top or tokens[start] < few - 1):
+                                top, few = s, tokens[start] + 1
+                    path.append(top)
+                    tokens.append(few)
+                    edges[node << 8 | word[end - 1]] = node = len(forward)
+                    nodes.append(node)
+                    forward.append(top)
+                    fewest.append(few)
+                known = terminals[word] = (tokens[-1], path[-1])
+            yield word, *known
 
     def _learn(self, units: set[str]) -> None:
-        words = {u: [w.encode() for w in self.cut.findall(u)] for u in units}
-        known = {w: (n, s) for w, n, s in self.walk(w for x in words.values() for w in x)}
+        cut, cache = self.cut.findall, self.cache
+        words = {u: [w.encode() for w in cut(u)] for u in units}
+        known = {w: (1, n, s) for w, n, s in self.walk(w for x in words.values() for w in x)}
         for unit, own in words.items():
-            self.cache[unit] = (len(own), sum(known[w][0] for w in own), math.fsum(known[w][1] for w in own))
+            if len(own) == 1:
+                cache[unit] = known[own[0]]
+            else:
+                got = [known[w] for w in own]
+                cache[unit] = (len(own), sum([g[1] for g in got]), math.fsum([g[2] for g in got]))
 
     def counts(self, texts: list[str]) -> list[tuple[int, int, float]]:
         """Pre-tokens, tokens and score of each text."""
@@ -98,13 +114,13 @@ class UnigramTrie:
             else:  # a pre-token starts at every space that something other than white space follows
                 head, *rest = text.split(" ")
                 parts.append([head, *[" " + x for x in rest]])
-        if missing := {u for x in parts for u in x}.difference(self.cache):
+        if missing := {"", *(u for x in parts for u in x)}.difference(self.cache):
             self._learn(missing)
         cache = self.cache
         out = []
         for x in parts:
-            got = [cache[u] for u in x]
-            out.append((sum([g[0] for g in got]), sum([g[1] for g in got]), math.fsum([g[2] for g in got])))
+            words, tokens, scores = zip(*map(cache.__getitem__, x or [""]), strict=True)
+            out.append((sum(words), sum(tokens), math.fsum(scores)))
         return out
 
 
