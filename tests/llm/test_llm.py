@@ -559,3 +559,108 @@ def test_pipeline_odd_rows(spark):
             assert name == "bpe" or after.columns == docs.columns, name
             held = after.collect()
             rows = spark.createDataFrame(held, after.schema)
+
+
+def odd(spark, texts):
+    """Rows with null ids, nulls in every column, repeats, an empty and a very long text, and names that clash or have dots."""
+    docs = docs_of(spark, [*texts[:20], None, "", " ".join(t or "" for t in texts) * 8]).withColumnRenamed("bucket", "a.b").withColumnRenamed("lang", "row")
+    blank = docs.limit(1).select(*[F.lit(None).cast(t).alias(c) if "." not in c else F.lit(None).cast(t).alias(c) for c, t in docs.dtypes])
+    return docs.union(docs.where("doc_id < 3")).union(docs.where("doc_id in (4, 5)").withColumn("doc_id", F.lit(None).cast("long"))).union(blank)
+
+
+def test_passages_odd_rows(spark, texts):
+    from tallyfold.llm.passages import repeated_passages
+
+    docs = odd(spark, texts)
+    rows = repeated_passages(docs).collect()
+    assert all(r["doc_id"] is not None and r["match_doc_id"] < r["doc_id"] and r["identity"] >= 0.8 for r in rows)
+    long = 22  # holds the first twenty texts whole
+    assert {r["match_doc_id"] for r in rows if r["doc_id"] == long} >= {i for i in range(20) if len(texts[i].split()) >= 30}
+    assert repeated_passages(docs.limit(0)).count() == 0
+
+
+def test_passages_against_all_pairs(spark):
+    """Recall on planted passages, exact and fuzzy, among texts of common words: each is linked with an earlier holder."""
+    from tallyfold.llm.passages import repeated_passages
+
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(4000)]
+    weights = [1 / (k + 1) for k in range(4000)]
+    filler = lambda n: rng.choices(words, weights, k=n)
+    made, want = [], []
+    for _ in range(60):
+        passage = filler(rng.randint(30, 90))
+        holders = []
+        for _ in range(rng.randint(2, 5)):
+            own = [w if rng.random() > rng.choice([0, 0, 0.05]) else rng.choice(words) for w in passage]
+            holders.append(len(made))
+            made.append((filler(rng.randint(10, 60)), own, filler(rng.randint(10, 60))))
+        want.append(holders)
+    got = {}
+    for r in repeated_passages(docs_of(spark, [" ".join(a + b + c) for a, b, c in made])).collect():
+        got.setdefault(r["doc_id"], []).append((r["start_word"], r["end_word"]))
+    hit = total = 0
+    for holders in want:
+        for k in holders[1:]:
+            a, b, _ = made[k]
+            covered = sum(1 for w in range(len(a), len(a) + len(b)) if any(s <= w < e for s, e in got.get(k, [])))
+            total += 1
+            hit += covered >= 0.8 * len(b)
+    assert hit / total >= 0.95, (hit, total)
+
+
+def test_bpe_odd_rows(spark, texts):
+    from tokenizers import Tokenizer
+
+    from tallyfold.llm.bpe import encode_digests
+
+    path = str(P.path("byte_bpe_50k.json"))
+    docs, coder = odd(spark, texts), Tokenizer.from_file(path)
+    got = Counter((r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in encode_digests(docs, path).collect())
+    assert got == Counter((r["doc_id"], len(coder.encode(r["text"] or "", add_special_tokens=False).ids), hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in docs.collect())
+
+
+def test_token_counts_odd_rows(spark, texts):
+    from tallyfold.llm.tokens import token_counts, trie
+
+    path = str(P.path("byte_bpe_50k.tiktoken"))
+    docs, m = odd(spark, texts), trie(path)
+    rows = Counter((r["doc_id"], r["n_words"], r["n_tokens"]) for r in token_counts(docs, path).collect())
+    tokens = lambda words: {w: n for w, n, _ in m.walk(words)}
+
+    def count(t):
+        words = [x.encode() for x in m.cut.findall(t or "")]
+        known = tokens(words)
+        return len(words), sum(known[w] for w in words)
+
+    assert rows == Counter((r["doc_id"], *count(r["text"])) for r in docs.collect())
+    m._clear()
+    fresh = {w: (s, n) for w, n, s in m.walk([b"abc", b"abd", b"ab", b"a"])}
+    assert list(zip(m.forward, m.fewest))[1:] == [fresh[w] for w in (b"a", b"ab", b"abc", b"abd")]  # a node for each prefix, computed once
+
+
+def test_fingerprint_odd_rows(spark, texts):
+    from tallyfold.llm.fingerprint import fingerprints
+
+    docs = odd(spark, texts)
+    rows = fingerprints(docs).collect()
+    assert len(rows) == docs.count() and Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in docs.collect())
+    by = {}
+    for r, t in ((r, r["doc_id"]) for r in rows):
+        by.setdefault(t, set()).add(r["fingerprint"])
+    assert all(len(by[k]) == 1 for k in (0, 1, 2)) and all(0 <= r["near_next"] <= 1 for r in rows)
+
+
+def test_secrets_odd_rows(spark, texts):
+    from tallyfold.llm.secrets import redact, report
+
+    docs = odd(spark, texts)
+    assert report(docs).count() == docs.count() == redact(docs).count() and redact(docs).columns == docs.columns
+
+
+def test_simhash_odd_rows(spark, texts):
+    from tallyfold.llm.simhash import near_duplicates
+
+    docs = odd(spark, texts)
+    got = Counter((r["doc_id"], int(r["fingerprint"], 16)) for r in near_duplicates(docs).collect())
+    assert got == Counter((r["doc_id"], simhash(r["text"] or "")) for r in docs.collect())
