@@ -26,7 +26,7 @@ def _plausible(day: Column) -> Column:
 def parse_date(value: Column, formats: tuple[str, ...] = Policy.date_formats) -> Column:
     """struct(value date, ambiguous boolean). A slash date that is a date either way round, with day and month unequal, is ambiguous and null."""
     raw = F.trim(F.regexp_replace(value, r"\s+", " "))
-    named = F.initcap(F.lower(raw))  # month names in any case
+    named = F.replace(F.initcap(F.replace(F.lower(raw), F.lit("-"), F.lit(" - "))), F.lit(" - "), F.lit("-"))  # month names in any case
     read = lambda text, p: F.when(text.rlike(_GUARDS[p]), F.try_to_date(text, p))
     day_first, month_first = read(raw, "d/M/yyyy"), F.when(raw.rlike(_GUARDS["d/M/yyyy"]), F.try_to_date(raw, "M/d/yyyy"))
     ambiguous = F.coalesce(day_first.isNotNull() & month_first.isNotNull() & (day_first != month_first), F.lit(False))

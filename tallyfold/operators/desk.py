@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.config import REASONS, SCHEMA, Field, Policy
+from tallyfold.config import REASONS, RULE_TEXTS, SCHEMA, Field, Policy
 from tallyfold.functions.values import coerce_user_value
-from tallyfold.operators.records import RULES, broken_rules
+from tallyfold.operators.records import RULES, broken_rules, field_errors
 
 #: Records that a push may take, that a fill may reach, and the states in which a run works or has ended.
 PUSHABLE = ("merged_survivor", "clean")
@@ -281,3 +281,35 @@ def choices(audit: DataFrame, *columns: str) -> DataFrame:
     """column, value: the distinct values of each column, for a filter's list, in order; nulls are none."""
     long = audit.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])).alias("x")).select("x.*")
     return long.where("value is not null").distinct().orderBy("column", "value")
+
+
+def fill_verdicts(records: DataFrame, field: Field, rule: str | None, schema: tuple[Field, ...] = SCHEMA, policy: Policy = Policy()) -> DataFrame:
+    """Records with a supplied value, judged: adds value (canonical), why (empty: accepted) and status after the fill.
+
+    records: the schema's fields, status, supplied (text); rows without a supplied value are left out. A fill answers
+    for what it breaks anew and for the rule it was to fix, not for other rules. An accepted record that was held back
+    becomes clean if it is complete by then, and incomplete otherwise.
+    """
+    types = dict(records.dtypes)
+    rows = records.where("supplied <> ''").withColumn("_x", coerce_user_value(F.col("supplied"), field, policy.date_formats)).withColumn("_before", broken_rules())
+    filled = rows.withColumn("_old", F.col(field.name)).withColumn(field.name, F.when(F.col("_x.why") == "", F.col("_x.value").try_cast(types[field.name])).otherwise(F.col(field.name)))
+    filled = filled.withColumns({"_after": broken_rules(), "_bad": field_errors((field,)), "_missing": field_errors(tuple(f for f in schema if f.name in records.columns), strict=True)})
+    said = F.create_map(*[F.lit(x) for r, (text, _) in RULE_TEXTS.items() for x in (r, text)])
+    told = lambda ids: F.concat_ws(", ", F.transform(F.array_sort(ids), lambda r: F.try_element_at(said, r)))
+    newly = F.array_except("_after", "_before")
+    left = F.array_intersect("_after", F.array(F.lit(rule))) if rule else F.array().cast("array<string>")
+    broken = F.concat_ws("; ", F.when(F.size(newly) > 0, F.concat(F.lit("would break "), told(newly))), F.when(F.size(left) > 0, F.concat(F.lit("still does not fix "), told(left))))
+    why = F.when(F.col("_x.why") != "", F.col("_x.why")).when(F.size("_bad") > 0, "not valid for the field").otherwise(broken)
+    held = F.col("status").isin("excluded", "blocked", "incomplete")
+    after = F.when(why != "", F.col("status")).when(held, F.when(F.size("_missing") == 0, "clean").otherwise("incomplete")).otherwise(F.col("status"))
+    kept = [F.col(c) for c in records.columns if c not in ("status", field.name)]
+    return filled.select(*kept, F.when(why == "", F.col(field.name)).otherwise(F.col("_old")).alias(field.name), F.col("_x.value").alias("value"), why.alias("why"), after.alias("status"))
+
+
+def typed_answers(answers: DataFrame, fields: tuple[Field, ...] = SCHEMA, policy: Policy = Policy()) -> DataFrame:
+    """answers (field, typed and more) with `value`, in the form the field stores, and `why` it can't be; unknown fields pass as typed."""
+    plain = F.struct(F.col("typed").alias("value"), F.lit("").alias("why"))
+    x = F.lit(None)
+    for f in fields:
+        x = F.when(F.col("field") == f.name, coerce_user_value(F.col("typed"), f, policy.date_formats)).otherwise(x if f is not fields[0] else plain)
+    return answers.withColumn("_x", x).select(*answers.columns, "_x.value", "_x.why")

@@ -453,3 +453,39 @@ def validate_twice(spark, sf_dir):
 def status_counts(spark, sf_dir):
     known = spark.createDataFrame([(s, k) for k, s in enumerate(STATUSES)], "status string, ord int")
     return known.join(_customers(spark, sf_dir), "status", "left").groupBy("status", "ord").agg(F.count("id").alias("n"))
+
+
+@_query(f"""with {_CLEAN}, asked as (select k, employee_id, date_of_birth, hire_date, termination_date as old, employment_status, manager_employee_id, {_BROKEN} as before,
+  case k % 3 when 0 then '2040-01-01' when 1 then '01-01-1999' else '03/04/2024' end as supplied from cleaned where employment_status = 'terminated'),
+filled as (select k, employee_id, date_of_birth, hire_date, old, employment_status, manager_employee_id, before, supplied, case k % 3 when 0 then date '2040-01-01' when 1 then date '1999-01-01' else old end as termination_date from asked),
+judged as (select *, {_BROKEN} as after from filled)
+select k, case k % 3 when 0 then '2040-01-01' when 1 then '1999-01-01' end as value,
+  case when k % 3 = 2 then 'two different dates' when list_contains(after, 'R1') and not list_contains(before, 'R1') then 'would break the termination date is before the hire date' else '' end as why,
+  case when k % 3 = 2 or (list_contains(after, 'R1') and not list_contains(before, 'R1')) then 'blocked' when employee_id is not null and hire_date is not null then 'clean' else 'incomplete' end as status from judged""")
+def fill_verdicts(spark, sf_dir):
+    rows = _cleaned(spark, sf_dir).select("k", "employee_id", "date_of_birth", "hire_date", "termination_date", "employment_status", "manager_employee_id")
+    rows = rows.where("employment_status = 'terminated'").withColumn("supplied", F.expr("case k % 3 when 0 then '2040-01-01' when 1 then '01-01-1999' else '03/04/2024' end")).withColumn("status", F.lit("blocked"))
+    return D.fill_verdicts(rows, _FIELDS["termination_date"], "R2").select("k", "value", "why", "status")
+
+
+@_query("select s_suppkey, case when s_suppkey % 3 = 0 then case when s_suppkey % 2 = 0 then 'active' end when s_suppkey % 3 = 1 then '2024-02-01' else 'Nowhere' end as value, case when s_suppkey % 3 = 0 and s_suppkey % 2 = 1 then 'not an allowed value' else '' end as why from supplier")
+def typed_answers(spark, sf_dir):
+    rows = _read(spark, sf_dir, "supplier").selectExpr("s_suppkey", "case s_suppkey % 3 when 0 then 'employment_status' when 1 then 'hire_date' else 'location' end as field", "case s_suppkey % 3 when 0 then if(s_suppkey % 2 = 0, ' active', 'gone') when 1 then '01-Feb-2024' else 'Nowhere' end as typed")
+    return D.typed_answers(rows).select("s_suppkey", "value", "why")
+
+
+@_query("""with g as (select c_custkey as k, cast(c_custkey * 7919 as varchar) as d, lower(c_mktsegment) as w from customer)
+select k, case when length(d) <= 3 then d when length(d) <= 5 then substring(d, 1, length(d) - 3) || ',' || right(d, 3) when length(d) <= 7 then substring(d, 1, length(d) - 5) || ',' || substring(d, length(d) - 4, 2) || ',' || right(d, 3)
+    else substring(d, 1, length(d) - 7) || ',' || substring(d, length(d) - 6, 2) || ',' || substring(d, length(d) - 4, 2) || ',' || right(d, 3) end as grouped,
+  k % 20000 as serial, case k % 4 when 0 then '+91 9876543210' when 1 then '09876543210' when 2 then '9876543210' else '+91-987-654-3210' end as mobile,
+  case k % 3 when 0 then substring(w, 1, 2) || substring(w, 4) when 1 then substring(w, 1, 2) || substring(w, 4, 1) || substring(w, 3, 1) || substring(w, 5) else substring(w, 1, 3) || substring(w, 3) end as typo,
+  case k % 4 when 0 then 'AN NA' when 1 then 'an na' when 2 then '  An Na  ' else 'An  Na' end as damaged from g""")
+def generator_scalars(spark, sf_dir):
+    from tallyfold.sources import synthetic as G
+
+    k, w = F.col("k"), F.lower("c_mktsegment")
+    rows = _read(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "k")
+    return rows.select(
+        "k", G.indian_grouping(k * 7919).alias("grouped"), G.excel_serial(F.date_add(F.lit("1899-12-30").cast("date"), (k % 20000).cast("int"))).cast("long").alias("serial"), G.mobile(F.lit("9876543210"), k % 4).alias("mobile"),
+        G.typo(w, k % 3, F.lit(2)).alias("typo"), G.damaged(F.lit("An Na"), k % 4).alias("damaged"),
+    )

@@ -46,11 +46,13 @@ def discard(df: DataFrame) -> None:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that are done: it acts when the driver collects garbage."""
+    """Let Spark's cleaner drop the shuffle files of plans that are done: it acts when the driver collects garbage, and needs a moment."""
     import gc
+    import time
 
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(1)
 
 
 def _rows_as_read(df: DataFrame) -> bool:

@@ -23,6 +23,8 @@ def test_dates(spark):
     assert got["1700000000"] == (d(2023, 11, 14), False)
     assert got[" 3  apr 2024 "] == (d(2024, 4, 3), False)
     assert got[""] == got["x"] == (None, False)
+    row = spark.range(1).select(*[values.parse_date(F.lit(x))["value"] for x in ("03-APR-2024", "3-apr-2024", "2024-4-3", "2024/04/03")]).first()
+    assert set(row) == {d(2024, 4, 3)}
 
 
 def test_text(spark):

@@ -161,3 +161,20 @@ def test_run(spark, tmp_path):
     assert audit.where("field = 'department' and after = 'Ops'").count() == 1 and audit.where("after = 'merged'").count() == 1
     assert run.rollback() == 28 and run._state().count() == 0
     assert run_status(2, 0, 0)[1] and run_status(0, 3, 0) == ("reconciling", True, "3 questions are open") and not run_status(0, 0, 5)[1]
+
+
+def test_synthetic(spark, tmp_path):
+    from tallyfold.sources import synthetic as G
+
+    people = G.canonical(spark, 3000)
+    files = G.exports(people)
+    truth = G.manifest(people)
+    hris = files["legacy_hris_employees.csv"]
+    n = {r["anomaly"]: r["n"] for r in truth.groupBy("anomaly").agg(F.count("*").alias("n")).collect()}
+    assert hris.count() == 3000 + n["twin"] and 0.85 < files["payroll_dump.csv"].count() / 3000 < 0.97 and 0.6 < files["crm_contacts_export.xlsx"].count() / 3000 < 0.8
+    assert hris.where("mgr_code = emp_code and not emp_code like '%-D%'").count() == n["self_manager"]
+    assert files["payroll_dump.csv"].where("annual_salary like 'USD%'").count() > 0.2 * 2700
+    assert G.canonical(spark, 3000).exceptAll(people).count() == 0  # a rerun gives them again
+    assert D.twins(hris, "emp_code").count() == n["twin"]
+    (tmp_path / "m.json").write_text('{"anomalies": [\n {"anomaly": "a", "ids": ["1", "2"]}, {"anomaly": "b", "ids": []}]}')
+    assert sorted(tuple(r) for r in G.read_manifest(spark, str(tmp_path / "m.json")).collect()) == [("a", "1"), ("a", "2")]
