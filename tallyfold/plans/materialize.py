@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
 import tempfile
@@ -25,10 +26,28 @@ def shared_dir(spark: SparkSession) -> str:
     return named or _own_dir()
 
 
+@functools.cache
+def _app_dir(spark: SparkSession) -> str:
+    """The application's own folder in the shared one. What nothing has discarded goes with the driver."""
+    path = os.path.join(shared_dir(spark), "tallyfold", spark.sparkContext.applicationId)
+
+    def clear() -> None:
+        if spark.sparkContext._jsc is not None:  # else the session was stopped before
+            _delete(spark, path)
+
+    atexit.register(clear)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: a lost executor then costs no recomputation."""
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), "tallyfold", spark.sparkContext.applicationId, f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(_app_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tallyfold_path = path
@@ -39,9 +58,7 @@ def discard(df: DataFrame) -> None:
     """Delete a table written by materialize() that nothing reads any longer."""
     path = getattr(df, "_tallyfold_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, path)
         df._tallyfold_path = None
 
 
@@ -50,9 +67,10 @@ def release_shuffles(spark: SparkSession) -> None:
     import gc
     import time
 
-    gc.collect()
-    spark._jvm.System.gc()
-    time.sleep(1)
+    for _ in range(2):  # the first round frees what Python's objects held in the JVM
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def _rows_as_read(df: DataFrame) -> bool:
