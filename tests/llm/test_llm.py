@@ -224,19 +224,42 @@ def test_simhash(spark, texts):
 
 
 def test_simhash_representatives(spark, texts):
-    from tallyfold.llm.simhash import near_duplicates, representatives
+    from tallyfold.llm.simhash import fingerprint, representatives
 
     docs = docs_of(spark, texts).withColumnRenamed("bucket", "a.b")
     docs = docs.union(docs.where("doc_id < 4")).union(docs.where("doc_id in (2, 9)").withColumn("doc_id", F.lit(None).cast("long")))
     extra = spark.createDataFrame([(None, "only here once " * 9, "en", "a", 1, "x", 1, "y", "z")] * 2, docs.schema)
     docs = docs.union(extra)
-    parts = {r["component_id"] for r in near_duplicates(docs).collect()}
     kept = representatives(docs)
     assert kept.columns == docs.columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=lambda x: (x is None, x)) == [*sorted(parts - {None}), None]
+    ids = [r["doc_id"] for r in kept.collect()]
+    prints = [fingerprint((t or "").encode()) & (2**64 - 1) for t in texts]
+    first = {i for i in range(len(texts)) if all((prints[i] ^ p).bit_count() > 0 for p in prints[:i])}  # no copy before it
+    assert ids.count(None) == 1 and len(ids) == len(set(ids)) and set(ids) - {None} <= first
+    far = {i for i in first if all((prints[i] ^ p).bit_count() > 15 for j, p in enumerate(prints) if j != i and prints[j] != prints[i])}
+    assert far <= set(ids)  # nothing like it: it stays
     assert representatives(empty(spark)).count() == 0
 
 
+def test_simhash_near_copies(spark):
+    """The stage's recall: copies with one or two words of a hundred changed, and none of the others."""
+    from tallyfold.llm.simhash import representatives
+
+    rng = random.Random(31)
+    made, copies = [], {1: [], 2: []}
+    for k in range(400):
+        words = [f"w{rng.randrange(3000)}" for _ in range(100)]
+        made.append(" ".join(words))
+        n = 1 + k % 2
+        for at in rng.sample(range(100), n):
+            words[at] = "changed"
+        copies[n].append(len(made))
+        made.append(" ".join(words))
+    ids = {r["doc_id"] for r in representatives(docs_of(spark, made)).select("doc_id").collect()}
+    lost = {n: sum(i not in ids for i in own) / len(own) for n, own in copies.items()}
+    assert set(range(0, 800, 2)) <= ids and lost[1] > 0.65 and lost[2] > 0.3, lost
+
+
 def test_simhash_top_bit(spark):
     from tallyfold.llm.simhash import links
 
