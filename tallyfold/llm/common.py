@@ -80,3 +80,26 @@ LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.ui
 
 def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+class Recent(dict):
+    """A cache of two generations: when it holds `most` entries they become the older ones, of which those still asked for come back."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def age(self) -> None:
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+
+    def missing(self, keys: set) -> set:
+        """The keys that neither generation holds; those that the older one holds are brought back."""
+        lost = keys.difference(self)
+        older = self.older
+        back = [k for k in lost if k in older]
+        if back:
+            self.update((k, older[k]) for k in back)
+            lost.difference_update(back)
+        return lost

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.bpe import CACHE_WORDS, PATTERN
-from tallyfold.llm.common import record_batch
+from tallyfold.llm.common import Recent, record_batch
 
 #: Nodes of a task's trie, about 100 bytes each.
 NODES = 1 << 19
@@ -39,7 +39,7 @@ class UnigramTrie:
         self.longest = max(map(len, ranks))
         self.cut = regex.compile(PATTERN)
         self.loose = regex.compile(r" (?:\s|\Z)")
-        self.cache: dict[str, tuple[int, int, float]] = {}
+        self.cache: Recent = Recent(CACHE_WORDS)
         self._clear()
 
     def _clear(self) -> None:
@@ -105,8 +105,7 @@ class UnigramTrie:
 
     def counts(self, texts: list[str]) -> list[tuple[int, int, float]]:
         """Pre-tokens, tokens and score of each text."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
+        self.cache.age()
         parts = []
         for text in texts:
             if self.loose.search(text):
@@ -114,7 +113,7 @@ class UnigramTrie:
             else:  # a pre-token starts at every space that something other than white space follows
                 head, *rest = text.split(" ")
                 parts.append([head, *[" " + x for x in rest]])
-        if missing := {"", *(u for x in parts for u in x)}.difference(self.cache):
+        if missing := self.cache.missing({""}.union(*parts)):
             self._learn(missing)
         cache = self.cache
         out = []
