@@ -489,3 +489,15 @@ def generator_scalars(spark, sf_dir):
         "k", G.indian_grouping(k * 7919).alias("grouped"), G.excel_serial(F.date_add(F.lit("1899-12-30").cast("date"), (k % 20000).cast("int"))).cast("long").alias("serial"), G.mobile(F.lit("9876543210"), k % 4).alias("mobile"),
         G.typo(w, k % 3, F.lit(2)).alias("typo"), G.damaged(F.lit("An Na"), k % 4).alias("damaged"),
     )
+
+
+_PHONES = """select c_custkey as id, case when c_custkey % 3 = 0 then '' when c_custkey % 3 = 1 then 'K' || cast(c_custkey % 40 as string) else 'K' || cast(c_custkey % 40 as string) || '7' end as employee_id,
+  'ann' as first_name, case when c_custkey % 2 = 0 then 'sharma' else 'sharmaji' end as last_name, '' as work_email, '+9198765' || lpad(cast(c_custkey % 211 as string), 3, '0') || lpad(cast(c_custkey * 7 % 90 as string), 2, '0') as phone, '' as date_of_birth from customer"""
+
+
+@_query(f"""with p as ({_PHONES.replace('as string', 'as varchar')}) select a.id as a_id, b.id as b_id, case when a.phone = b.phone then 1.0 else 0.85 end as score from p a join p b on a.id < b.id and levenshtein(a.phone, b.phone) <= 2
+where (a.employee_id = '' or b.employee_id = '' or starts_with(a.employee_id, b.employee_id) or starts_with(b.employee_id, a.employee_id))""")
+def phone_pairs(spark, sf_dir):
+    from tallyfold.operators.pairs import candidate_pairs
+
+    return candidate_pairs(A.view(spark, sf_dir, _PHONES)).select("a_id", "b_id", "score")
