@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyfold.functions import fuzzy, text, values
 from tallyfold.operators import records as R
 from tallyfold.operators.graph import connected_components
+from tallyfold.operators.pairs import candidate_pairs
 from tallyfold.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -48,15 +49,19 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 101: 100}
+    star = [(0, k) for k in range(1, 40)] + [(39, 50), (50, 51), (60, 61)]  # a centre whose edges are dealt out apart
+    for hot in (4, 1):
+        got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(star, "src long, dst long"), hot=hot).collect()}
+        assert got == {**{i: 0 for i in [*range(40), 50, 51]}, 60: 60, 61: 60}
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
-def test_pairs_in_chunks(spark):
+def test_pairs_of_copies(spark):
     rows = [(i, "", "ann", "lee", f"abcde{i % 7}@x.com", "", "") for i in range(60)]
     df = spark.createDataFrame(rows, "id long, employee_id string, first_name string, last_name string, work_email string, phone string, date_of_birth string")
-    whole = {(r["a_id"], r["b_id"]) for r in R.candidate_pairs(df).collect()}
-    assert len(whole) == 60 * 59 // 2 == R.candidate_pairs(df, block_size=7).count()
-    assert whole == {(r["a_id"], r["b_id"]) for r in R.candidate_pairs(df, block_size=7).collect()}
+    found = {(r["a_id"], r["b_id"]): r["score"] for r in candidate_pairs(df).collect()}
+    copies = {(i % 7, i): 1.0 for i in range(7, 60)}  # each with the first of its kind
+    assert found == copies | {(a, b): 0.85 for b in range(7) for a in range(b)}
 
 
 @pytest.mark.parametrize("name", ["issues_grouped", "parse_date_all", "queue_cards", "components", "map_scores", "push_summary"])
