@@ -242,6 +242,9 @@ class ByteBPE:
             out.append(b"".join(ids))
         return out
 
+    def forget(self) -> None:
+        self.cache, self.spaced = {}, {}
+
     def decode(self, ids: bytes) -> str:
         table = self.words_of
         return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
@@ -283,6 +286,7 @@ def _encoded(docs: DataFrame, path: str, digests: bool) -> DataFrame:
                 out = ([sha(x) for x in ids], [sha(x.encode()) for x in back]) if digests else (ids, back)
                 yield record_batch(schema, batch.column(0).slice(at, len(group)), counts, *out)
                 at += len(group)
+        bpe.forget()  # the worker goes on to other tasks, of other stages too
 
     kinds = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kinds)

@@ -96,10 +96,9 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _star(fps: np.ndarray, nodes: np.ndarray, side: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a forest that spans what is linked within a bucket, or across its two blocks."""
-    near = np.zeros((len(fps), len(fps)), np.int64)
-    for own in fps.T:
-        near += np.bitwise_count((own[:, None] ^ own[None, :]).view(np.uint64))
-    near = near <= most
+    near = np.empty((len(fps), len(fps)), bool)
+    for k in range(0, len(fps), 128):  # a strip at a time: bits of all fingerprints, at most 255
+        near[k : k + 128] = sum(np.bitwise_count((own[k : k + 128, None] ^ own[None, :]).view(np.uint64)) for own in fps.T) <= most
     if side[0] != side[-1]:
         near &= side[:, None] != side[None, :]
     i, j = np.nonzero(np.triu(near, 1))
