@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,6 +84,18 @@ def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+@contextlib.contextmanager
+def uncollected() -> Iterator[None]:
+    """Without the collector of cycles: it would walk large caches, which have none, again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class Recent(dict):
     """A cache of two generations: when it holds `most` entries they become the older ones, of which those still asked for come back."""
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.bpe import CACHE_WORDS, PATTERN
-from tallyfold.llm.common import Recent, record_batch
+from tallyfold.llm.common import Recent, record_batch, uncollected
 
 #: Nodes of a task's trie, about 100 bytes each.
 NODES = 1 << 19
@@ -36,7 +36,8 @@ class UnigramTrie:
     def __init__(self, ranks: dict[bytes, int]):
         total = math.log(math.fsum(1 / (r + 1) for r in ranks.values()))
         self.score = {w: -math.log(r + 1) - total for w, r in ranks.items()}
-        self.longest = max(map(len, ranks))
+        #: Scores of the vocabulary; None for what only ends some of its strings: no string that ends so stands farther back.
+        self.ends: dict[bytes, float | None] = {w[k:]: None for w in ranks for k in range(1, len(w))} | self.score
         self.cut = regex.compile(PATTERN)
         self.loose = regex.compile(r" (?:\s|\Z)")
         self.cache: Recent = Recent(CACHE_WORDS)
@@ -45,80 +46,85 @@ class UnigramTrie:
     def _clear(self) -> None:
         self.edges: dict[int, int] = {}  # node * 256 + byte: node
         self.forward, self.fewest = [0.0], [0]  # by node: the forward score, and its segmentation's tokens
-        self.terminals: dict[bytes, tuple[int, float]] = {}
+        self.terminals: dict[bytes, tuple[int, int, float]] = {}
 
-    def walk(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, int, float]]:
-        """Each distinct word's tokens and score in its best segmentation; of equal scores, that of fewest tokens.
+    def insert(self, words: Iterable[bytes]) -> dict[bytes, tuple[int, int, float]]:
+        """The terminals, among them each of the words: 1, the tokens and the score of its best segmentation; of equal scores, that of fewest tokens.
 
         Words are inserted in order, so that what a word shares with the one before it is at hand. The trie is shared
         by all calls of a task, and begun anew when it is large.
         """
         if len(self.forward) > NODES:
             self._clear()
-        edges, forward, fewest, terminals, score, longest = self.edges, self.forward, self.fewest, self.terminals, self.score, self.longest
-        nodes, path, tokens, before = [0], [0.0], [0], b""
-        for word in sorted(set(words)):
-            known = terminals.get(word)
-            if known is None:
-                size = len(word)
-                at, most = 0, min(size, len(before))
-                while at < most and word[at] == before[at]:
-                    at += 1
-                del nodes[at + 1 :], path[at + 1 :], tokens[at + 1 :]
-                before, node = word, nodes[at]
-                while at < size:
-                    after = edges.get(node << 8 | word[at])
-                    if after is None:
+        edges, forward, fewest, terminals, ends = self.edges, self.forward, self.fewest, self.terminals, self.ends
+        nodes, before = [0], b""
+        for word in sorted({w for w in words if w not in terminals}):
+            size = len(word)
+            at, most = 0, min(size, len(before))
+            while at < most and word[at] == before[at]:
+                at += 1
+            del nodes[at + 1 :]
+            before, node = word, nodes[at]
+            while at < size:
+                after = edges.get(node << 8 | word[at])
+                if after is None:
+                    break
+                node = after
+                nodes.append(node)
+                at += 1
+            for end in range(at + 1, size + 1):
+                top, few = -math.inf, 0
+                for start in range(end - 1, -1, -1):
+                    s = ends.get(word[start:end], 0.0)
+                    if s is None:
+                        continue
+                    if s == 0.0:
                         break
-                    node = after
-                    nodes.append(node)
-                    path.append(forward[node])
-                    tokens.append(fewest[node])
-                    at += 1
-                for end in range(at + 1, size + 1):
-                    top, few = -math.inf, 0
-                    for start in range(end - longest if end > longest else 0, end):
-                        s = score.get(word[start:end])
-                        if s is not None:
-                            s += path[start]
-                            if s >= top and (s > top or tokens[start] < few - 1):
-                                top, few = s, tokens[start] + 1
-                    path.append(top)
-                    tokens.append(few)
-                    edges[node << 8 | word[end - 1]] = node = len(forward)
-                    nodes.append(node)
-                    forward.append(top)
-                    fewest.append(few)
-                known = terminals[word] = (tokens[-1], path[-1])
-            yield word, *known
-
-    def _learn(self, units: set[str]) -> None:
+                    back = nodes[start]
+                    s += forward[back]
+                    if s >= top and (s > top or fewest[back] < few - 1):
+                        top, few = s, fewest[back] + 1
+                edges[node << 8 | word[end - 1]] = node = len(forward)
+                nodes.append(node)
+                forward.append(top)
+                fewest.append(few)
+            terminals[word] = (1, fewest[node], forward[node])
+        return terminals
+
+    def _learn(self, units: set[str | bytes]) -> None:
+        """The counts of units into the cache: texts without the space before them, and pre-tokens as bytes."""
         cut, cache = self.cut.findall, self.cache
-        words = {u: [w.encode() for w in cut(u)] for u in units}
-        known = {w: (1, n, s) for w, n, s in self.walk(w for x in words.values() for w in x)}
-        for unit, own in words.items():
-            if len(own) == 1:
-                cache[unit] = known[own[0]]
+        plain, others = {}, {}
+        for u in units:
+            if type(u) is bytes:
+                plain[u] = u
+            elif u.isalpha():  # letters behind a space are one pre-token
+                plain[u] = b" " + u.encode()
             else:
-                got = [known[w] for w in own]
-                cache[unit] = (len(own), sum([g[1] for g in got]), math.fsum([g[2] for g in got]))
-
+                others[u] = [w.encode() for w in cut(" " + u)]
+        known = self.insert([*plain.values(), *(w for x in others.values() for w in x)])
+        cache.update((u, known[w]) for u, w in plain.items())
+        for unit, own in others.items():
+            got = [known[w] for w in own]
+            cache[unit] = got[0] if len(got) == 1 else (len(own), sum([g[1] for g in got]), math.fsum([g[2] for g in got]))
+
+    @uncollected()
     def counts(self, texts: list[str]) -> list[tuple[int, int, float]]:
         """Pre-tokens, tokens and score of each text."""
         self.cache.age()
-        parts = []
+        parts: list[list[str | bytes]] = []
         for text in texts:
             if self.loose.search(text):
-                parts.append(self.cut.findall(text))
+                parts.append([w.encode() for w in self.cut.findall(text)])
             else:  # a pre-token starts at every space that something other than white space follows
                 head, *rest = text.split(" ")
-                parts.append([head, *[" " + x for x in rest]])
-        if missing := self.cache.missing({""}.union(*parts)):
+                parts.append(rest + [w.encode() for w in self.cut.findall(head)])
+        if missing := self.cache.missing(set().union(*parts)):
             self._learn(missing)
         cache = self.cache
         out = []
         for x in parts:
-            words, tokens, scores = zip(*map(cache.__getitem__, x or [""]), strict=True)
+            words, tokens, scores = zip(*map(cache.__getitem__, x), strict=True) if x else ((), (), ())
             out.append((sum(words), sum(tokens), math.fsum(scores)))
         return out
 

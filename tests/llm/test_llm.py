@@ -680,16 +680,14 @@ def test_token_counts_odd_rows(spark, texts):
     path = str(P.path("byte_bpe_50k.tiktoken"))
     docs, m = odd(spark, texts), trie(path)
     rows = Counter((r["doc_id"], r["n_words"], r["n_tokens"]) for r in token_counts(docs, path).collect())
-    tokens = lambda words: {w: n for w, n, _ in m.walk(words)}
-
     def count(t):
         words = [x.encode() for x in m.cut.findall(t or "")]
-        known = tokens(words)
-        return len(words), sum(known[w] for w in words)
+        known = m.insert(words)
+        return len(words), sum(known[w][1] for w in words)
 
     assert rows == Counter((r["doc_id"], *count(r["text"])) for r in docs.collect())
     m._clear()
-    fresh = {w: (s, n) for w, n, s in m.walk([b"abc", b"abd", b"ab", b"a"])}
+    fresh = {w: (s, n) for w, (_, n, s) in m.insert([b"abc", b"abd", b"ab", b"a"]).items()}
     assert list(zip(m.forward, m.fewest))[1:] == [fresh[w] for w in (b"a", b"ab", b"abc", b"abd")]  # a node for each prefix, computed once
 
 
