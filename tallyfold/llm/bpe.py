@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import record_batch, uncollected
+from tallyfold.llm.common import record_batch, trimmed, uncollected
 
 #: Fixed value: the byte-level pre-tokeniser's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -290,7 +290,7 @@ def _encoded(docs: DataFrame, path: str, digests: bool) -> DataFrame:
         bpe.forget()  # the worker goes on to other tasks, of other stages too
 
     kinds = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kinds)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), kinds)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

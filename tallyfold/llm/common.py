@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +97,19 @@ def uncollected() -> Iterator[None]:
             gc.enable()
 
 
+def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work, with the memory that it has freed given back to the system at its end: the worker goes on to other tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+        if trim:
+            trim(0)
+
+    return run
+
+
 class Recent(dict):
     """A cache of two generations: when it holds `most` entries they become the older ones, of which those still asked for come back."""
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tallyfold.llm.common import mix, record_batch, texts_of
+from tallyfold.llm.common import mix, record_batch, texts_of, trimmed
 from tallyfold.operators.graph import connected_components
 from tallyfold.plans.materialize import materialize, row_key
 
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, names: tuple[str, ...]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *(pa.array(x) for x in rows.T)], names=[*rest, *names])
 
     schema = StructType([*(f for f in docs.schema.fields if f.name != "text"), *(StructField(n, LongType()) for n in names)])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def _variants(nodes: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -167,7 +167,7 @@ def links(nodes: DataFrame, most: int = MAX_DISTANCE, block: int = BLOCK, names:
         .select("key", *names, "node", own.alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
         .select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("unit"), "side", "node", *names)
     )
-    found = units.repartition("unit").sortWithinPartitions("unit", "side", *names).mapInArrow(_verify(most), "src long, dst long")
+    found = units.repartition("unit").sortWithinPartitions("unit", "side", *names).mapInArrow(trimmed(_verify(most)), "src long, dst long")
     return found.distinct()
 
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import chunked, mix, record_batch, span_hashes, texts_of
+from tallyfold.llm.common import chunked, mix, record_batch, span_hashes, texts_of, trimmed
 from tallyfold.plans.materialize import discard, materialize, release_shuffles, row_key
 
 LENGTH, GRAM = 100, 32
@@ -442,12 +442,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int
     buckets, homes = -(-frags // BUCKET), -(-frags // BUCKET)
     grouped = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
     # Negative buckets: stretches of copies, by document. Others: first heads by anchor, and then by document.
-    dealt = docs.select("doc", "text").mapInArrow(_fragments(length, gram, buckets, homes), _PACKED_DDL)
-    found = materialize(grouped(dealt).mapInArrow(_heads(homes), _PACKED_DDL), "fragments")
+    dealt = docs.select("doc", "text").mapInArrow(trimmed(_fragments(length, gram, buckets, homes)), _PACKED_DDL)
+    found = materialize(grouped(dealt).mapInArrow(trimmed(_heads(homes)), _PACKED_DDL), "fragments")
     release_shuffles(spark)
     heads = grouped(found.where("bucket >= 0")).mapInArrow(_by_doc(_HEAD), "doc long, data binary")
     pieces = heads.join(docs.hint("merge"), "doc").select("doc", "data", "text").mapInArrow(_cut(length, shard), "deal long, doc long, start int, piece binary")
-    settled = materialize(pieces.repartition("deal").sortWithinPartitions("deal", "doc", "start").mapInArrow(_sorted_shards(length, shard, homes), _PACKED_DDL), "settled")
+    settled = materialize(pieces.repartition("deal").sortWithinPartitions("deal", "doc", "start").mapInArrow(trimmed(_sorted_shards(length, shard, homes)), _PACKED_DDL), "settled")
     release_shuffles(spark)
     all_ = found.where("bucket < 0").unionByName(settled)
     out = materialize(grouped(all_).mapInArrow(_by_doc(_STRETCH), "doc long, data binary"), "repeats")
