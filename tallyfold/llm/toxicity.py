@@ -22,8 +22,9 @@ from tallyfold.plans.materialize import discard, materialize
 HELD = 1 << 19
 #: Labelled rows that the model is fitted on, at most (in expectation, by a hash of doc_id).
 MAX_TRAIN = 200_000
-#: Weight of the prior, in tokens; least standard score of a token's log-odds; score of a token that says nothing.
-PRIOR, LEAST_Z, DRIFT = 2_000.0, 4.0, -0.05
+#: Weight of the prior, in tokens; Jeffreys' half count of each token, without which one that no clean text holds has no
+#: certain odds; least standard score of a token's log-odds; score of a token that says nothing.
+PRIOR, HALF, LEAST_Z, DRIFT = 2_000.0, 0.5, 4.0, -0.05
 THRESHOLD = 0.3
 
 _WORD = byte_class(lambda b: b >= 0x80 or chr(b).isalnum() or b == 0x27)
@@ -168,7 +169,7 @@ def _telling(counts: DataFrame) -> Model:
     if not total["n"]:
         return Model(np.empty(0, np.int64), np.array([DRIFT]), 1.0)
     rows = counts.withColumn("share", (F.col("n") + 0.01) / total["n"])
-    rows = rows.withColumns({"a": F.col("toxic") + PRIOR * F.col("share"), "b": F.col("clean") + PRIOR * F.col("share")})
+    rows = rows.withColumns({"a": F.col("toxic") + PRIOR * F.col("share") + HALF, "b": F.col("clean") + PRIOR * F.col("share") + HALF})
     logit = lambda c, labelled: F.log(F.col(c) / F.greatest(F.lit(float(labelled) + PRIOR) - F.col(c), F.lit(1e-9)))
     rows = rows.withColumn("odds", logit("a", total["toxic"]) - logit("b", total["clean"]))
     found = rows.where(F.abs("odds") >= LEAST_Z * F.sqrt(1 / F.col("a") + 1 / F.col("b"))).select("token", "share", "odds").toArrow().sort_by("token")
