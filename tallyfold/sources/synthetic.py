@@ -69,7 +69,7 @@ def canonical(spark: SparkSession, n: int, rates: dict[str, float] = RATES) -> D
         day("1960-01-01", 14_000, "b").alias("born"), day("2005-01-01", 6_000, "h").alias("hired"), _pick(_DEPARTMENTS, "d").alias("department"), _pick(DESIGNATIONS, "t").alias("designation"),
         _pick(COST_CENTERS, "c").alias("cost_center"), F.element_at(F.array(F.lit("A"), F.lit("A"), F.lit("A"), F.lit("L"), F.lit("T")), (F.floor(_roll("s") * 5) + 1).cast("int")).alias("state"),
         (300_000 + F.floor(_roll("m") * 2_000_000)).cast("long").alias("salary"), (6_000_000_000 + F.floor(_roll("p") * 3_999_999_999)).cast("long").cast("string").alias("digits"),
-        F.concat(F.lit("EMP"), F.lpad(F.floor(_roll("g") * n).cast("string"), 6, "0")).alias("manager"),
+        F.concat(F.lit("EMP"), F.lpad(((F.col("k") + 1 + F.floor(_roll("g") * max(1, n - 1))) % n).cast("string"), 6, "0")).alias("manager"),  # somebody else
     )
     rows = rows.withColumn("email", F.lower(F.concat("first_name", F.lit("."), "last_name", F.col("k").cast("string"), F.lit("@example.com"))))
     flags = {a: _roll("anomaly", a) < rate for a, rate in rates.items()}
