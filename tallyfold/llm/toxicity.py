@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import LOWER, byte_class, chunked, record_batch, span_hashes, texts_of, word_spans
+from tallyfold.llm.common import LOWER, byte_class, chunked, record_batch, span_hashes, texts_of, trimmed, word_spans
 from tallyfold.plans.materialize import discard, materialize
 
 #: Distinct tokens that a counting task holds before it passes them on.
@@ -209,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     known = materialize(known, "labels")
     told = F.broadcast(known)  # max_train rows of 12 bytes
     labelled = docs.join(told, "doc_id", "left").select("text", F.coalesce("toxic", F.lit(-1)).alias("toxic"))
-    counts = labelled.mapInArrow(_count, "token long, n long, toxic long, clean long").groupBy("token").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "clean")])
+    counts = labelled.mapInArrow(trimmed(_count), "token long, n long, toxic long, clean long").groupBy("token").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "clean")])
     counts = materialize(counts, "tokens")
     model = _telling(counts)
 
@@ -218,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
             rows = [x[:3] for x in _evidence(texts_of(batch.column(0)), model, False)]
             yield record_batch(_TOLD, *(map(list, zip(*rows, strict=True)) if rows else ([], [], [])), batch.column(1))
 
-    sample = docs.join(told, "doc_id").select("text", "toxic").mapInArrow(scan, "n_words long, top double, total double, toxic int").toArrow()  # max_train rows
+    sample = docs.join(told, "doc_id").select("text", "toxic").mapInArrow(trimmed(scan), "n_words long, top double, total double, toxic int").toArrow()  # max_train rows
     discard(counts)
     discard(known)
     n, top, total, y = (sample[c].to_numpy().astype(np.float64) for c in ("n_words", "top", "total", "toxic"))
@@ -260,7 +260,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAI
             score, rows = _scores(texts_of(batch.column(1)), model, True)
             yield record_batch(_SCORED, batch.column(0), score, [r[0] for r in rows], [r[3] for r in rows])
 
-    got = docs.mapInArrow(run, f"doc_id long, score double, n_words long, spans array<{_SPAN}>")
+    got = docs.mapInArrow(trimmed(run), f"doc_id long, score double, n_words long, spans array<{_SPAN}>")
     return got.select("doc_id", F.coalesce(_fold() == 2, F.lit(True)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_words", "spans")
 
 
@@ -279,4 +279,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -
             yield batch.filter(pa.array(score < THRESHOLD))
 
     plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # names with dots do not pass
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(trimmed(run), plain.schema).toDF(*docs.columns)
