@@ -24,10 +24,11 @@ def _pick(values: tuple[str, ...], salt: str) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (F.floor(_roll(salt) * len(values)) + 1).cast("int"))
 
 
-def indian_grouping(n: Column) -> Column:
-    """Digits with the last three apart and the others in twos: 12,34,567."""
+def indian_grouping(n: Column, to_crores: bool = False) -> Column:
+    """Digits with the last three apart and the others in twos: 12,34,567. to_crores: digits before the comma of crores stay together."""
     digits = n.cast("string")
-    rest = F.regexp_replace(F.reverse(F.regexp_replace(F.reverse(F.substr(digits, F.lit(1), F.char_length(digits) - 3)), r"(\d\d)(?=\d)", "$1,")), "^,", "")
+    twos = r"(?<=\d)(?=(\d\d){1,2}$)" if to_crores else r"(?<=\d)(?=(\d\d)+$)"
+    rest = F.regexp_replace(F.substr(digits, F.lit(1), F.char_length(digits) - 3), twos, ",")
     return F.when(F.char_length(digits) <= 3, digits).otherwise(F.concat(rest, F.lit(","), F.right(digits, F.lit(3))))
 
 
