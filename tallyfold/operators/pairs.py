@@ -17,6 +17,8 @@ EQUAL, NEAR = 1.0, 0.85
 #: Distinct names of a block that are compared at once; larger blocks are dealt out as pairs of chunks.
 CHUNK = 2_000
 
+#: What has to be known of a record for its copies to be alike.
+_SAID = "email <> '' or phone <> '' or first <> '' or last <> ''"
 _IDENTITY = ["block", "key", "email", "phone", "first", "last", "born"]
 
 
@@ -30,13 +32,18 @@ def identities(records: DataFrame) -> DataFrame:
     )
 
 
+def _joined(left: DataFrame, right: DataFrame, on: str | list[str]) -> DataFrame:
+    """An equality join that deals out both sides: what explode() makes of a small table is none, as Spark's estimates have it."""
+    return left.join(right.hint("merge"), on)
+
+
 def _agreeing(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """left x right by equality on `on` where one's `key` is a beginning of the other's. Columns besides `on` get a_ and b_."""
     named = lambda df, p: df.select(*on, *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in on])
     a, b = named(left, "a"), named(right, "b")
     starts = lambda c: F.explode(F.transform(F.sequence(F.lit(0), F.char_length(c)), lambda n: F.substring(F.col(c), F.lit(1), n)))
-    shorter = a.withColumn("start", starts("a_key")).join(b.withColumn("start", F.col("b_key")), [*on, "start"])
-    longer = b.withColumn("start", starts("b_key")).join(a.withColumn("start", F.col("a_key")), [*on, "start"]).where("a_key <> b_key")
+    shorter = _joined(a.withColumn("start", starts("a_key")), b.withColumn("start", F.col("b_key")), [*on, "start"])
+    longer = _joined(b.withColumn("start", starts("b_key")), a.withColumn("start", F.col("a_key")), [*on, "start"]).where("a_key <> b_key")
     return shorter.drop("start").unionByName(longer.drop("start"))
 
 
@@ -52,7 +59,7 @@ def near_values(values: DataFrame, skip: int = 0) -> DataFrame:
     twice = f"flatten(transform(filter({once}, x -> x <> ''), x -> {less.format('x')}))"
     made = rest.select("block", "value", F.explode(F.expr(f"array_distinct(concat(array(r), {once}, {twice}))")).alias("made"))
     made = made.select("block", "value", F.xxhash64("block", "made").alias("made"))
-    pairs = made.select("block", F.col("value").alias("a"), "made").join(made.select("block", F.col("value").alias("b"), "made"), ["block", "made"]).where("a < b")
+    pairs = _joined(made.select("block", F.col("value").alias("a"), "made"), made.select("block", F.col("value").alias("b"), "made"), ["block", "made"]).where("a < b")
     return pairs.select("block", "a", "b").distinct().where(F.levenshtein("a", "b", 2) >= 0)
 
 
@@ -74,20 +81,22 @@ def _names(reps: DataFrame, chunk: int, least: float) -> DataFrame:
     names = people.select("block", "first", "last").distinct()
     sizes = names.groupBy("block").agg(F.count("*").alias("n"))
     chunks = F.ceil(F.col("n") / chunk).cast("int")
-    dealt = names.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("first", "last"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    dealt = _joined(names, sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("first", "last"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     dealt = dealt.withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
     side = lambda p: dealt.select("block", "low", "high", *[F.col(c).alias(f"{p}{c}") for c in ("first", "last", "chunk")])
-    both = side("l").join(side("r"), ["block", "low", "high"]).where("(low = high or lchunk <> rchunk) and struct(lfirst, llast) <= struct(rfirst, rlast)")
+    both = _joined(side("l"), side("r"), ["block", "low", "high"]).where("(low = high or lchunk <> rchunk) and struct(lfirst, llast) <= struct(rfirst, rlast)")
     told = lambda c: F.expr(f"l{c} <> '' or r{c} <> ''")
     total = sum((F.when(told(c), ratio(f"l{c}", f"r{c}")).otherwise(0.0) for c in ("first", "last")), F.lit(0.0))
     score = F.try_divide(total, sum((F.when(told(c), 1).otherwise(0) for c in ("first", "last")), F.lit(0)))
     alike = both.select("block", "lfirst", "llast", "rfirst", "rlast", score.alias("score")).where(F.col("score") > least)
-    left = alike.join(people.withColumnsRenamed({"first": "lfirst", "last": "llast"}), ["block", "lfirst", "llast"])
+    left = _joined(alike, people.withColumnsRenamed({"first": "lfirst", "last": "llast"}), ["block", "lfirst", "llast"])
     own = left.select("block", "rfirst", "rlast", "score", "key", "id", "phone", "born", "lfirst", "llast")
     right = people.select("block", F.col("first").alias("rfirst"), F.col("last").alias("rlast"), F.lit(None).cast("double").alias("score"), "key", "id", "phone", "born")
-    met = _agreeing(own, right, ["block", "rfirst", "rlast"])
+    # One of a pair lacks a phone: pairs of others, as many as their names' square, are not made.
+    on = ["block", "rfirst", "rlast"]
+    met = _agreeing(own.where("phone = ''"), right, on).unionByName(_agreeing(own.where("phone <> ''"), right.where("phone = ''"), on))
     apart = "a_id <> b_id and (struct(a_lfirst, a_llast) <> struct(rfirst, rlast) or a_id < b_id)"
-    return met.where(f"{apart} and (a_phone = '' or b_phone = '') and (a_born = '' or b_born = '' or a_born = b_born)").select("a_id", "b_id", F.col("a_score").alias("score"))
+    return met.where(f"{apart} and (a_born = '' or b_born = '' or a_born = b_born)").select("a_id", "b_id", F.col("a_score").alias("score"))
 
 
 def _ordered(pairs: DataFrame, score: Column) -> DataFrame:
@@ -97,18 +106,28 @@ def _ordered(pairs: DataFrame, score: Column) -> DataFrame:
 def _copies(ids: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """The first record of each identity, and the pairs of each other record with it."""
     reps = ids.groupBy(*_IDENTITY).agg(F.min("id").alias("id"))
-    said = "email <> '' or phone <> '' or first <> '' or last <> ''"
-    others = ids.where(said).join(reps.withColumnRenamed("id", "a_id"), _IDENTITY).where("id > a_id")
+    others = _joined(ids.where(_SAID), reps.withColumnRenamed("id", "a_id"), _IDENTITY).where("id > a_id")
     return reps, others.select("a_id", F.col("id").alias("b_id"), F.lit(EQUAL).alias("score")).where(F.lit(EQUAL > least))
 
 
-def candidate_pairs(records: DataFrame, least: float = 0.0, chunk: int = CHUNK) -> DataFrame:
+def _every_copy(ids: DataFrame, reps: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """Pairs of first records, as pairs of all their copies; and those of copies with each other."""
+    members = _joined(ids, reps.withColumnRenamed("id", "first_id"), _IDENTITY).select("first_id", "id", F.expr(_SAID).alias("said"))
+    named = lambda p: members.select(F.col("first_id").alias(f"{p}_id"), F.col("id").alias(p))
+    across = _joined(_joined(found, named("a"), "a_id"), named("b"), "b_id").select(F.col("a").alias("a_id"), F.col("b").alias("b_id"), "score")
+    own = members.where("said").select("first_id", F.col("id").alias("a_id"))
+    within = _joined(own, own.withColumnRenamed("a_id", "b_id"), "first_id").where("a_id < b_id").where(F.lit(EQUAL > least))
+    return _ordered(across, F.col("score")).unionByName(within.select("a_id", "b_id", F.lit(EQUAL).alias("score")))
+
+
+def candidate_pairs(records: DataFrame, least: float = 0.0, chunk: int = CHUNK, every_copy: bool = False) -> DataFrame:
     """a_id, b_id (a_id < b_id), block, score of every pair of a block that scores above `least` (0 or more).
 
     records: id (distinct), employee_id, first_name, last_name, work_email, phone, date_of_birth. Records whose
     identity is equal in all of these are copies: a copy is paired with the first of them, and the first alone is
-    paired with others. Null and empty values count as missing; extra columns are ignored; an empty table gives no
-    rows. Pairs that score 0 are not listed: nothing merges them or asks about them.
+    paired with others, unless `every_copy` asks for all their pairs, whose number grows with the square of the copies.
+    Null and empty values count as missing; extra columns are ignored; an empty table gives no rows. Pairs that score 0
+    are not listed: nothing merges them or asks about them.
     """
     ids = identities(records)
     reps, copies = _copies(ids, least)
@@ -116,11 +135,13 @@ def candidate_pairs(records: DataFrame, least: float = 0.0, chunk: int = CHUNK)
     same = _agreeing(valued, valued, ["block", "value"]).where("a_id <> b_id and (a_key <> b_key or a_id < b_id)")
     found = _ordered(same, F.lit(EQUAL))
     if least < NEAR:
-        left = _near(valued).join(valued.withColumnRenamed("value", "a"), ["block", "a"]).select("block", F.col("b").alias("value"), "key", "id")
+        left = _joined(_near(valued), valued.withColumnRenamed("value", "a"), ["block", "a"]).select("block", F.col("b").alias("value"), "key", "id")
         found = found.unionByName(_ordered(_agreeing(left, valued, ["block", "value"]), F.lit(NEAR)))
-    found = found.unionByName(_ordered(_names(reps, chunk, least), F.col("score"))).unionByName(copies)
+    found = found.unionByName(_ordered(_names(reps, chunk, least), F.col("score")))
+    found = found.distinct().where(F.col("score") > least)
+    found = _every_copy(ids, reps, found, least) if every_copy else found.unionByName(copies)
     blocks = ids.select(F.col("id").alias("a_id"), "block")
-    return found.distinct().where(F.col("score") > least).join(blocks, "a_id").select("a_id", "b_id", "block", "score")
+    return _joined(found, blocks, "a_id").select("a_id", "b_id", "block", "score")
 
 
 def merge_edges(records: DataFrame, merge_above: float, chunk: int = CHUNK) -> DataFrame:
@@ -135,11 +156,11 @@ def merge_edges(records: DataFrame, merge_above: float, chunk: int = CHUNK) -> D
     if merge_above <= EQUAL:
         valued = _valued(reps)
         firsts = valued.groupBy("block", "value", "key").agg(F.min("id").alias("id"))
-        own = valued.join(firsts.withColumnRenamed("id", "a_id"), ["block", "value", "key"]).select("a_id", F.col("id").alias("b_id"))
+        own = _joined(valued, firsts.withColumnRenamed("id", "a_id"), ["block", "value", "key"]).select("a_id", F.col("id").alias("b_id"))
         met = _agreeing(firsts, firsts, ["block", "value"]).select("a_id", "b_id")
         edges = edges.unionByName(own).unionByName(met)
         if merge_above <= NEAR:
-            left = _near(valued).join(firsts.withColumnRenamed("value", "a"), ["block", "a"]).select("block", F.col("b").alias("value"), "key", "id")
+            left = _joined(_near(valued), firsts.withColumnRenamed("value", "a"), ["block", "a"]).select("block", F.col("b").alias("value"), "key", "id")
             edges = edges.unionByName(_agreeing(left, firsts, ["block", "value"]).select("a_id", "b_id"))
     names = _names(reps, chunk, 0.0).where(F.col("score") >= merge_above).select("a_id", "b_id")
     return edges.unionByName(names).where("a_id <> b_id").select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"))
