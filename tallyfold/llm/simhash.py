@@ -163,7 +163,7 @@ def links(nodes: DataFrame, most: int = MAX_DISTANCE, block: int = BLOCK, names:
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.hash(*names), blocks)
     units = (
-        keys.join(counts, "key")
+        keys.join(counts.hint("merge"), "key")  # 64 variants of each segment: more than Spark's estimate, which would send them to the driver
         .select("key", *names, "node", own.alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
         .select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("unit"), "side", "node", *names)
     )
@@ -183,8 +183,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_DIS
     prints = materialize(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle), "simhash")
     nodes = materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     parts = connected_components(links(nodes, most, block))
-    classes = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(classes, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = nodes.join(parts.hint("merge"), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(classes.hint("merge"), "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE, most: int = NEAR_BITS, block: int = BLOCK) -> DataFrame:
@@ -205,7 +205,7 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, most: int = NEAR_BI
     nodes = prints.groupBy(*names).agg(F.min(least).alias("least")).select(*names, F.xxhash64("least.file", "least.row").alias("node"), "least")
     nodes = materialize(nodes, "nodes")
     parts = connected_components(links(nodes.select(*names, "node"), most, block, names))
-    heads = nodes.join(parts, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("least").alias("least")).select("least.file", "least.row")
+    heads = nodes.join(parts.hint("merge"), "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("least").alias("least")).select("least.file", "least.row")
     # Neither side has a bound that would allow a broadcast: the texts are dealt out by row, which no key can skew.
     kept = docs.withColumns(dict(zip(_OWN, key, strict=True))).join(heads.toDF(*_OWN).hint("merge"), list(_OWN), "left_semi")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

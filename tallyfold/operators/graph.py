@@ -15,10 +15,10 @@ HOT = 1 << 20
 def _beside(both: DataFrame, low: DataFrame, edges: int, hot: int) -> DataFrame:
     """both with m of low, by u. Nodes of more than `hot` edges are 2 * edges / hot at most: they are sent to their rows."""
     if 2 * edges <= hot:
-        return both.join(low.select("u", "m"), "u")
+        return both.join(low.select("u", "m").hint("merge"), "u")
     crowded = F.broadcast(low.where(F.col("n") > hot).select("u", "m"))
     rest = low.where(F.col("n") <= hot).select("u", "m")
-    return both.join(crowded, "u").unionByName(both.join(crowded, "u", "left_anti").join(rest, "u"))
+    return both.join(crowded, "u").unionByName(both.join(crowded, "u", "left_anti").join(rest.hint("merge"), "u"))
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -49,7 +49,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, hot: int = HOT)
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         large = _beside(both, low, state[0], hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(root, "u").where("v <> m").select(F.col("v").alias("src"), F.col("m").alias("dst"))
+        small = large.join(root.hint("merge"), "u").where("v <> m").select(F.col("v").alias("src"), F.col("m").alias("dst"))
         after = materialize(small.unionAll(root.select(F.col("u").alias("src"), F.col("m").alias("dst"))).distinct(), "edges")
         discard(current)
         current, before, state = after, state, _digest(after)
