@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from tallyfold.llm import passages
 from tallyfold.llm.simhash import links
 from tallyfold.operators.pairs import candidate_pairs, near_values
 from tallyfold.plans import catalog, desk  # noqa: F401 (desk adds its queries)
@@ -42,3 +43,14 @@ def test_no_broadcast_of_fingerprint_variants(spark):
     nodes = spark.range(50).selectExpr("id as fp", "id as node")
     plan = links(nodes)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_passages_in_parts(spark, monkeypatch):
+    docs, found, shuffled = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), [], []
+    real = passages.materialize
+    monkeypatch.setattr(passages, "materialize", lambda df, name: (shuffled.append(name), real(df, name))[1])
+    for n in (1, 3):
+        monkeypatch.setattr(passages, "_PARTS", n)
+        found.append(sorted(map(tuple, passages.repeated_passages(docs).collect())))
+    assert len(found[0]) > 10 and found[0] == found[1]
+    assert shuffled.count("cut") == shuffled.count("passages") == 4  # one table a part: its shuffles are released before the next
