@@ -716,3 +716,64 @@ def test_simhash_odd_rows(spark, texts):
     docs = odd(spark, texts)
     got = Counter((r["doc_id"], int(r["fingerprint"], 16)) for r in near_duplicates(docs).collect())
     assert got == Counter((r["doc_id"], simhash(r["text"] or "")) for r in docs.collect())
+
+
+def test_passages_whose_seeds_are_first_held_elsewhere(spark):
+    """Two fuzzy holders of a passage without 25 equal words on end, each run of which stands alone in an earlier document."""
+    from tallyfold.llm.passages import repeated_passages
+
+    rng = random.Random(31)
+    other = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    made, want = [], set()
+    for _ in range(20):
+        runs = [other(rng.randint(7, 9)) for _ in range(5)]
+        made += [other(30) + x + other(30) for x in runs]
+        want.add((len(made) + 1, len(made)))
+        made += [other(20) + [w for x in runs for w in [*x, *other(1)]] + other(20) for _ in range(2)]
+    line = other(8)  # one that many texts hold, and two of them also what is around it
+    made += [other(30) + line + other(30) for _ in range(200)]
+    around = [other(9) for _ in range(2)]
+    want.add((len(made) + 1, len(made)))
+    made += [other(12) + around[0][:4] + other(1) + around[0][5:] + line + other(1) + around[1] + other(12) for _ in range(2)]
+    got = {(r["doc_id"], r["match_doc_id"]) for r in repeated_passages(docs_of(spark, [" ".join(x) for x in made])).collect()}
+    assert got == want, (want - got, got - want)
+
+
+def test_passages_of_near_copies(spark):
+    """Of near copies without 25 equal words on end every pair is linked, by a row or by the places of their first holder."""
+    from tallyfold.llm.passages import repeated_passages
+
+    rng = random.Random(32)
+    other = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    base = other(60)
+    made = [other(20) + [w if k % 12 != s else other(1)[0] for k, w in enumerate(base)] + other(20) for s in [*range(12)] * 3]
+    rows = repeated_passages(docs_of(spark, [" ".join(x) for x in made])).collect()
+    direct = {(r["match_doc_id"], r["doc_id"]) for r in rows}
+    held = {}
+    for r in rows:
+        held.setdefault(r["match_doc_id"], []).append((r["doc_id"], r["match_start"], r["match_end"]))
+    for places in held.values():
+        direct |= {(a[0], b[0]) for a in places for b in places if a[0] < b[0] and min(a[2], b[2]) - max(a[1], b[1]) >= 25}
+    assert direct == {(a, b) for b in range(len(made)) for a in range(b)}
+
+
+def test_passages_pairs_in_blocks():
+    """Pairs of places made by rows, by distance and between packed blocks are the same, and none that aligns is lost."""
+    from tallyfold.llm.passages import _SIDE, GRAM, _block_pairs, _Places
+
+    rng = np.random.default_rng(33)
+    n, wide = 300, GRAM + 2 * _SIDE
+    words = rng.integers(0, 256, (n, 1 + wide)).astype(np.uint8)
+    words[:, 0] = _SIDE
+    words[:, 1 + _SIDE : 1 + _SIDE + GRAM] = 7
+    for k in range(0, n, 3):  # two that are alike but for every seventh word
+        words[k + 1, 1:] = np.where(np.arange(wide) % 7 == 0, words[k + 1, 1:], words[k, 1:])
+    doc, pos, prev = np.arange(n), np.full(n, 50), np.arange(n).astype("<u4") * 2 + 1
+    some = _Places(doc, pos, prev, np.zeros(n, np.uint32), words)
+    pairs = lambda parts: {(int(a), int(b)) for d, h, _, _ in parts for a, b in zip(d, h, strict=True)}
+    whole = pairs(_block_pairs(some, n, 0))
+    i, j = np.triu_indices(n, 1)
+    assert whole == pairs(some.matches(i, j)) >= {(k + 1, k) for k in range(0, n, 3)}
+    left, right = some.packed(0, 200), some.packed(200, n)
+    parts = [*_block_pairs(_Places.unpacked(left, right), 200, 100), *_block_pairs(_Places.unpacked(left, b""), 200, 0), *_block_pairs(_Places.unpacked(right, b""), 100, 0)]
+    assert pairs(parts) == whole
