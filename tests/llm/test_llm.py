@@ -777,3 +777,53 @@ def test_passages_pairs_in_blocks():
     left, right = some.packed(0, 200), some.packed(200, n)
     parts = [*_block_pairs(_Places.unpacked(left, right), 200, 100), *_block_pairs(_Places.unpacked(left, b""), 200, 0), *_block_pairs(_Places.unpacked(right, b""), 100, 0)]
     assert pairs(parts) == whole
+
+
+def test_passages_of_one_word_on_and_on():
+    """Stretches of one word are paired by their ends, and matched with a place of another text once in a few words."""
+    from tallyfold.llm.passages import _TILE, GRAM, _stretch_ends, _unrepeated
+
+    words = np.array([1, 2, 3, 4, 5] + [9] * 60 + [6, 7, 8, 1, 2], np.uint64)
+    at = np.arange(len(words) - GRAM + 1)
+    ends = _stretch_ends(words, np.array([0, len(words)]), at, np.zeros(len(at), int))
+    assert ends[5] == 1 and ends[60] == 2 and not ends[6:60].any() and (np.delete(ends, range(5, 61)) == 3).all()
+    pos = np.concatenate([np.arange(100, 160), [500]])
+    one = np.ones(len(pos), int)
+    kept = sorted(pos[_unrepeated(one, one, one, one, pos)].tolist())
+    assert len(kept) < 8 and {100, 159, 500} <= set(kept) and max(np.diff(kept[:-1])) <= _TILE
+
+
+def test_passages_pairs_around_a_line():
+    """Places with one word before are not compared at all; around a common line no pair is lost that grows to a passage."""
+    from tallyfold.llm.passages import _SIDE, GRAM, _block_pairs, _Places
+
+    rng = np.random.default_rng(34)
+    n, wide = 400, GRAM + 2 * _SIDE
+    words = rng.integers(0, 256, (n, 1 + wide)).astype(np.uint8)
+    words[:, 0] = _SIDE
+    words[:, 1 + _SIDE : 1 + _SIDE + 13] = np.arange(13)  # a line of 13 words that all hold
+    for k in range(0, n, 4):  # eight more words in common, of twelve
+        words[k + 1, 1 + _SIDE + 13 : 1 + _SIDE + 25] = np.where(np.arange(12) % 6 == 5, words[k + 1, 1 + _SIDE + 13 : 1 + _SIDE + 25], words[k, 1 + _SIDE + 13 : 1 + _SIDE + 25])
+    compared = []
+
+    class Counted(_Places):
+        def rows(self, *tile):
+            i, j = super().rows(*tile)
+            compared.append(len(i))
+            return i, j
+
+    doc, pos, near = np.arange(n), np.full(n, 50), np.zeros(n, np.uint32)
+    some = Counted(doc, pos, np.arange(n).astype("<u4") * 2 + 1, near, words)
+    found = {(int(a), int(b)) for d, h, _, _ in _block_pairs(some, n, 0) for a, b in zip(d, h, strict=True)}
+    assert found >= {(k + 1, k) for k in range(0, n, 4)} and sum(compared) < n * n / 4
+    compared.clear()
+    assert not list(_block_pairs(Counted(doc, pos, np.full(n, 7, "<u4"), near, words), n, 0)) and not compared
+
+
+def test_passages_short_in_the_other_text():
+    """22 equal words of the 25 of either text: the other's last words, which nothing equals, make up its length."""
+    from tallyfold.llm.passages import _grown
+
+    own, text = np.concatenate([np.arange(100, 120), np.full(11, 1), np.full(11, 2)]), np.concatenate([np.full(41, 1), np.full(44, 2)])
+    grown = _grown(own, text, np.array([[26, 36, 36, 46]]), np.array([[0, len(own)]]), np.array([[0, len(text)]]), 25)[0]
+    assert min(grown[1] - grown[0], grown[3] - grown[2]) == 25
