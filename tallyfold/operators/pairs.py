@@ -16,6 +16,10 @@ from tallyfold.functions.text import local_part, norm
 EQUAL, NEAR = 1.0, 0.85
 #: Distinct names of a block that are compared at once; larger blocks are dealt out as pairs of chunks.
 CHUNK = 2_000
+#: Copies of an identity that one row holds.
+_LIST = 1_024
+#: Identities of a value that one row holds.
+_FEW = 16
 
 #: What has to be known of a record for its copies to be alike.
 _SAID = "email <> '' or phone <> '' or first <> '' or last <> ''"
@@ -37,12 +41,17 @@ def _joined(left: DataFrame, right: DataFrame, on: str | list[str]) -> DataFrame
     return left.join(right.hint("merge"), on)
 
 
-def _agreeing(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """left x right by equality on `on` where one's `key` is a beginning of the other's. Columns besides `on` get a_ and b_."""
+def _agreeing(left: DataFrame, right: DataFrame, on: list[str], both: bool = True) -> DataFrame:
+    """left x right by equality on `on` where one's `key` is a beginning of the other's. Columns besides `on` get a_ and b_.
+
+    both: False leaves out pairs whose longer key is the right's: of a table with itself, these are told by the others.
+    """
     named = lambda df, p: df.select(*on, *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in on])
     a, b = named(left, "a"), named(right, "b")
     starts = lambda c: F.explode(F.transform(F.sequence(F.lit(0), F.char_length(c)), lambda n: F.substring(F.col(c), F.lit(1), n)))
     shorter = _joined(a.withColumn("start", starts("a_key")), b.withColumn("start", F.col("b_key")), [*on, "start"])
+    if not both:
+        return shorter.drop("start")
     longer = _joined(b.withColumn("start", starts("b_key")), a.withColumn("start", F.col("a_key")), [*on, "start"]).where("a_key <> b_key")
     return shorter.drop("start").unionByName(longer.drop("start"))
 
@@ -75,8 +84,26 @@ def _near(valued: DataFrame) -> DataFrame:
     return near_values(mail, 5).unionByName(near_values(distinct.where("not startswith(block, 'em:')")))
 
 
+def _met(near: DataFrame, valued: DataFrame) -> DataFrame:
+    """block, a_id, b_id of identities whose values are near (block, a, b) and whose keys agree.
+
+    The identities of two values meet in one row where each value has _FEW of them at most, else by joins on what the keys begin with.
+    """
+    on = ["block", "value"]
+    sizes = valued.groupBy(*on).agg(F.count("*").alias("n"))
+    told = _joined(valued, sizes, on)
+    some, many = told.where(F.col("n") <= _FEW).drop("n"), told.where(F.col("n") > _FEW).drop("n")
+    held = lambda p: some.groupBy("block", F.col("value").alias(p)).agg(F.collect_list(F.struct("key", "id")).alias(f"{p}_held"))
+    rows = _joined(_joined(near, held("a"), ["block", "a"]).select("block", "b", "a_held"), held("b"), ["block", "b"])
+    agree = "filter(b_held, y -> startswith(x.key, y.key) or startswith(y.key, x.key))"
+    rows = rows.select("block", F.inline(F.expr(f"flatten(transform(a_held, x -> transform({agree}, y -> struct(x.id as a_id, y.id as b_id))))")))
+    side = lambda p, q: _joined(near, many.withColumnRenamed("value", p), ["block", p]).select("block", F.col(q).alias("value"), "key", "id")
+    more = _agreeing(side("a", "b"), valued, on).unionByName(_agreeing(side("b", "a"), some, on))
+    return rows.unionByName(more.select("block", "a_id", "b_id"))
+
+
 def _names(reps: DataFrame, chunk: int, least: float) -> DataFrame:
-    """a_id, b_id, score of identities without e-mail, not both with a phone, whose names are alike and births don't differ."""
+    """block, a_id, b_id, score of identities without e-mail, not both with a phone, whose names are alike and births don't differ."""
     people = reps.where("email = '' and (first <> '' or last <> '') and not startswith(block, 'ph:')")
     names = people.select("block", "first", "last").distinct()
     sizes = names.groupBy("block").agg(F.count("*").alias("n"))
@@ -96,28 +123,34 @@ def _names(reps: DataFrame, chunk: int, least: float) -> DataFrame:
     on = ["block", "rfirst", "rlast"]
     met = _agreeing(own.where("phone = ''"), right, on).unionByName(_agreeing(own.where("phone <> ''"), right.where("phone = ''"), on))
     apart = "a_id <> b_id and (struct(a_lfirst, a_llast) <> struct(rfirst, rlast) or a_id < b_id)"
-    return met.where(f"{apart} and (a_born = '' or b_born = '' or a_born = b_born)").select("a_id", "b_id", F.col("a_score").alias("score"))
+    return met.where(f"{apart} and (a_born = '' or b_born = '' or a_born = b_born)").select("block", "a_id", "b_id", F.col("a_score").alias("score"))
 
 
 def _ordered(pairs: DataFrame, score: Column) -> DataFrame:
-    return pairs.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"), score.alias("score"))
+    return pairs.select("block", F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"), score.alias("score"))
 
 
 def _copies(ids: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """The first record of each identity, and the pairs of each other record with it."""
     reps = ids.groupBy(*_IDENTITY).agg(F.min("id").alias("id"))
     others = _joined(ids.where(_SAID), reps.withColumnRenamed("id", "a_id"), _IDENTITY).where("id > a_id")
-    return reps, others.select("a_id", F.col("id").alias("b_id"), F.lit(EQUAL).alias("score")).where(F.lit(EQUAL > least))
+    return reps, others.select("block", "a_id", F.col("id").alias("b_id"), F.lit(EQUAL).alias("score")).where(F.lit(EQUAL > least))
 
 
 def _every_copy(ids: DataFrame, reps: DataFrame, found: DataFrame, least: float) -> DataFrame:
-    """Pairs of first records, as pairs of all their copies; and those of copies with each other."""
-    members = _joined(ids, reps.withColumnRenamed("id", "first_id"), _IDENTITY).select("first_id", "id", F.expr(_SAID).alias("said"))
-    named = lambda p: members.select(F.col("first_id").alias(f"{p}_id"), F.col("id").alias(p))
-    across = _joined(_joined(found, named("a"), "a_id"), named("b"), "b_id").select(F.col("a").alias("a_id"), F.col("b").alias("b_id"), "score")
-    own = members.where("said").select("first_id", F.col("id").alias("a_id"))
-    within = _joined(own, own.withColumnRenamed("a_id", "b_id"), "first_id").where("a_id < b_id").where(F.lit(EQUAL > least))
-    return _ordered(across, F.col("score")).unionByName(within.select("a_id", "b_id", F.lit(EQUAL).alias("score")))
+    """Pairs of first records, as pairs of all their copies; and those of copies with each other.
+
+    Pairs of first records meet lists of their copies and become pairs of copies last: only the former are dealt out.
+    """
+    members = ids.groupBy(*_IDENTITY).agg(F.min("id").alias("first_id"), F.collect_list("id").alias("ids"))
+    part = F.explode(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / _LIST).cast("int"))).alias("part")
+    lists = members.select("first_id", "ids", part).select("first_id", F.slice("ids", F.col("part") * _LIST + 1, F.lit(_LIST)).alias("ids"))
+    own = reps.where(_SAID).select("block", F.col("id").alias("a_id"), F.col("id").alias("b_id"), F.lit(EQUAL).alias("score")).where(F.lit(EQUAL > least))
+    every = found.unionByName(own)
+    for p in ("a", "b"):
+        every = every.join(lists.select(F.col("first_id").alias(f"{p}_id"), F.col("ids").alias(p)).hint("shuffle_hash"), f"{p}_id")
+    every = every.withColumn("a", F.explode("a")).withColumn("b", F.explode("b")).where("a_id <> b_id or a < b")
+    return _ordered(every.select("block", F.col("a").alias("a_id"), F.col("b").alias("b_id"), "score"), F.col("score"))
 
 
 def candidate_pairs(records: DataFrame, least: float = 0.0, chunk: int = CHUNK, every_copy: bool = False) -> DataFrame:
@@ -132,16 +165,14 @@ def candidate_pairs(records: DataFrame, least: float = 0.0, chunk: int = CHUNK,
     ids = identities(records)
     reps, copies = _copies(ids, least)
     valued = _valued(reps)
-    same = _agreeing(valued, valued, ["block", "value"]).where("a_id <> b_id and (a_key <> b_key or a_id < b_id)")
+    same = _agreeing(valued, valued, ["block", "value"], both=False).where("a_key <> b_key or a_id < b_id")
     found = _ordered(same, F.lit(EQUAL))
     if least < NEAR:
-        left = _joined(_near(valued), valued.withColumnRenamed("value", "a"), ["block", "a"]).select("block", F.col("b").alias("value"), "key", "id")
-        found = found.unionByName(_ordered(_agreeing(left, valued, ["block", "value"]), F.lit(NEAR)))
+        found = found.unionByName(_ordered(_met(_near(valued), valued), F.lit(NEAR)))
     found = found.unionByName(_ordered(_names(reps, chunk, least), F.col("score")))
-    found = found.distinct().where(F.col("score") > least)
+    found = found.where(F.col("score") > least)  # each pair once: its longer key, nearer value or name tells its sides apart
     found = _every_copy(ids, reps, found, least) if every_copy else found.unionByName(copies)
-    blocks = ids.select(F.col("id").alias("a_id"), "block")
-    return _joined(found, blocks, "a_id").select("a_id", "b_id", "block", "score")
+    return found.select("a_id", "b_id", "block", "score")
 
 
 def merge_edges(records: DataFrame, merge_above: float, chunk: int = CHUNK) -> DataFrame:
@@ -160,7 +191,6 @@ def merge_edges(records: DataFrame, merge_above: float, chunk: int = CHUNK) -> D
         met = _agreeing(firsts, firsts, ["block", "value"]).select("a_id", "b_id")
         edges = edges.unionByName(own).unionByName(met)
         if merge_above <= NEAR:
-            left = _joined(_near(valued), firsts.withColumnRenamed("value", "a"), ["block", "a"]).select("block", F.col("b").alias("value"), "key", "id")
-            edges = edges.unionByName(_agreeing(left, firsts, ["block", "value"]).select("a_id", "b_id"))
+            edges = edges.unionByName(_met(_near(valued), firsts).select("a_id", "b_id"))
     names = _names(reps, chunk, 0.0).where(F.col("score") >= merge_above).select("a_id", "b_id")
     return edges.unionByName(names).where("a_id <> b_id").select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"))

@@ -70,6 +70,20 @@ def test_pairs(spark):
     assert P.candidate_pairs(df.limit(0)).count() == 0 == P.merge_edges(df.limit(0), 0.9).count()
 
 
+def test_every_copy(spark, monkeypatch):
+    rows = people(120) + [(900 + k, "", "asha", "iyer", "", f"+91987654321{k % 3}", "") + ("x", "y") for k in range(12)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute(df)
+    for few, most in ((P._FEW, P._LIST), (1, 2)):  # values of more identities, identities of more copies than a row holds
+        monkeypatch.setattr(P, "_FEW", few)
+        monkeypatch.setattr(P, "_LIST", most)
+        pairs = P.candidate_pairs(df, every_copy=True)
+        got = [(r["a_id"], r["b_id"], round(r["score"], 9)) for r in pairs.collect()]
+        assert len(got) == len(set(got)) and {(a, b): s for a, b, s in got} == want
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate explode")]  # what becomes pairs of copies is not dealt out again
+
+
 def test_cluster_chain(spark):
     rows = [(0, "K1", "a", "b", "", "", ""), (1, "K1", "", "", "lena77@x.com", "", ""), (2, "", "", "", "lena77@y.com", "", ""), (3, "K9", "", "", "", "+919876543210", ""), (4, "", "", "", "", "+919876543210", ""), (5, "Z", "q", "r", "", "", "")]
     df = spark.createDataFrame(rows, "id long, employee_id string, first_name string, last_name string, work_email string, phone string, date_of_birth string")
